@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression over hashed word n-grams, fitted by follow-the-regularised-leader.
 
-Words and word pairs, and the same of word shapes (letters, digits and signs collapsed), hash into
-``2**BITS`` features valued by their count over the root of the text's words.  One bounded task fits the
+Words and word pairs, the same of word shapes (letters, digits and signs collapsed), and the pair of a word
+with itself hash into ``2**BITS`` features valued by their count over the root of the text's words.  One bounded task fits the
 weights (FTRL-proximal); the table is then scored with one sparse dot product a document.
 
 Cases: a null or empty text has only the bias; repeated rows are each scored; extra columns are ignored;
@@ -57,6 +57,9 @@ def features_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     for h in (_words.of(flat), _shapes.of(flat)):
         parts += [h, mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[inner]]
         owners += [owner, owner[1:][inner]]
+    same = inner & (parts[1][1:] == parts[1][:-1])  # a word that follows itself, whichever it is
+    parts.append(np.full(np.count_nonzero(same), 0x1F83D9ABFB41BD6B, np.uint64))
+    owners.append(owner[1:][same])
     index = (mixed(np.concatenate(parts)) >> np.uint64(64 - BITS)).astype(np.int32)
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")

@@ -80,7 +80,8 @@ def masks(segments: int, best: int) -> list[tuple[int, int]]:
 
 
 def _near(a: np.ndarray, b) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= MOST_BITS
+    # unsigned: the count of a negative number is that of its absolute value
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= MOST_BITS
 
 
 def _forest(members: np.ndarray) -> list[tuple[int, int]]:
