@@ -34,7 +34,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         after = spill(_small(_stars(now)), "edges")
         forget(now)
         now, seen = after, state
-        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a") % 1_000_003)).first())
+        state = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first())
         if state == seen:
             break
     else:

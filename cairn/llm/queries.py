@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .chat_format import TEMPLATE, Template, control_patterns, formatted, parsed, unescaped
 from .decontaminate import contaminated, hit_words, scan
 from .license_scan import BLOCK, PHRASES, STEP, TEMPLATES, THRESHOLD, license_scan
+from .line_dedup import repeated_lines
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .runtime import table
@@ -35,6 +36,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("line_no"), F.col("kept_doc").alias("kept_doc_id"), F.col("kept_line").alias("kept_line_no"), F.col("copies").alias("component_lines"), "kept")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -128,7 +134,7 @@ FROM s GROUP BY conv_id"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_decontaminate, op4_quality_classifier, op5_simhash, op8_license_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_decontaminate, op4_quality_classifier, op5_simhash, op6_line_dedup, op8_license_scan, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
