@@ -158,10 +158,18 @@ _KEPT = bytes(c if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents, and without the passages that others share with the benchmark."""
-    kept = scan(docs, benchmark).where(~contaminated())
-    cut = F.udf(without_spans, "string")  # only texts with hits reach it
-    hit = F.size("_spans") > 0
-    clean = kept.where(~hit).unionByName(kept.where(hit).withColumn("text", cut("text", "_spans")))
-    if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(hit, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    names = docs.columns
+    at, sized = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        spans, columns = batch.column(len(names)).to_pylist(), list(batch.columns[: len(names)])
+        if any(spans):
+            texts = columns[at].to_pylist()
+            done = [without_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+            columns[at] = pa.array(done, columns[at].type)
+            if sized is not None:
+                sizes = columns[sized].to_pylist()
+                columns[sized] = pa.array([len(t) if s else n for t, s, n in zip(done, spans, sizes, strict=True)], columns[sized].type)
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    return scan(docs, benchmark).where(~contaminated()).select(*names, "_spans").mapInArrow(per_batch(cut), docs.schema)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from .chat_format import TEMPLATE, Template, control_patterns, formatted, parsed, unescaped
 from .decontaminate import contaminated, hit_words, scan
+from .language_id import language_id
 from .license_scan import BLOCK, PHRASES, STEP, TEMPLATES, THRESHOLD, license_scan
 from .line_dedup import repeated_lines
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .runtime import table
+from .sentencepiece_codec import MODEL, encoded
 from .simhash import near_duplicates
 
 
@@ -41,10 +43,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("line_no"), F.col("kept_doc").alias("kept_doc_id"), F.col("kept_line").alias("kept_line_no"), F.col("copies").alias("component_lines"), "kept")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+
+
 #: A conversation that says control strings, added to the table.
 PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -134,7 +144,7 @@ FROM s GROUP BY conv_id"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_decontaminate, op4_quality_classifier, op5_simhash, op6_line_dedup, op8_license_scan, op10_chat_format)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_decontaminate, op4_quality_classifier, op5_simhash, op6_line_dedup, op7_language_id, op8_license_scan, op9_sentencepiece, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import per_batch, spill, text_bytes
+from .runtime import per_batch, small_or_shuffled, spill, text_bytes
 
 MOST_BITS = 4
 _CHUNK = 1 << 18
@@ -157,3 +157,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(ids, "root").select("_fp", "component_id")
     return prints.join(named, "_fp")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with only the first document of each component: its smallest doc_id.
+
+    Repeated rows of one doc_id are one document; rows without a doc_id stay.  Only fingerprints and ids are grouped; the
+    documents are read again and joined with the ids that go.
+    """
+    found = near_duplicates(docs)
+    gone = spill(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(small_or_shuffled(gone), docs["doc_id"] == gone["_gone"], "left_anti")

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cairn.llm.decontaminate import decontaminated
+from cairn.llm.line_dedup import dedup_lines
 from cairn.llm.quality_classifier import fit, scored
 from cairn.llm.runtime import spill, table
+from cairn.llm.sentencepiece_codec import encoded
+from cairn.llm.simhash import one_of_each
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +18,27 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return scored(docs, fit(docs, table(spark, sf_dir, "labels"))).where(F.col("_score") >= 0.3).drop("_score")
 
 
-STAGES = [("quality classifier", quality_classifier)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one; those with no line of their own go."""
+    return dedup_lines(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """No contaminated documents, and no passages of the benchmark in others."""
+    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their SentencePiece ids."""
+    return encoded(docs)
+
+
+STAGES = [("quality classifier", quality_classifier), ("line dedup", line_dedup), ("near dedup", near_dedup), ("decontamination", decontamination), ("tokens", tokens)]
 
 #: No stage of trained weights, fuzzy lines or token ids is expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None
