@@ -10,6 +10,7 @@ from .decontaminate import contaminated, hit_words, scan
 from .language_id import language_id
 from .license_scan import BLOCK, PHRASES, STEP, TEMPLATES, THRESHOLD, license_scan
 from .line_dedup import repeated_lines
+from .maxent_lm import lm_scores
 from .quality_classifier import quality_classifier
 from .quality_rules import quality_rules
 from .runtime import table
@@ -30,6 +31,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.transform("_items", lambda i: i.cast("string"))), ",")
@@ -144,7 +149,7 @@ FROM s GROUP BY conv_id"""
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op3_decontaminate, op4_quality_classifier, op5_simhash, op6_line_dedup, op7_language_id, op8_license_scan, op9_sentencepiece, op10_chat_format)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_maxent_lm, op3_decontaminate, op4_quality_classifier, op5_simhash, op6_line_dedup, op7_language_id, op8_license_scan, op9_sentencepiece, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
