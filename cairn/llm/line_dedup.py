@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import slices, small_or_shuffled, spill, text_bytes
+from .runtime import per_batch, slices, small_or_shuffled, spill, text_bytes
 from .text import mixed
 
-SHINGLE, SIMILAR = 5, 0.8
+SHINGLE, SIMILAR = 8, 0.8
 #: P(no common band) at a similarity of 0.8 is (1 - 0.8**4)**12 = 0.2 %, at 0.9 5e-6.
 BANDS, ROWS = 12, 4
 MOST_TOGETHER = 4_000
@@ -86,80 +86,77 @@ def _worded(text: bytes) -> list[tuple[int, bytes]]:
     return [(k, ln) for k, ln in enumerate(text.split(b"\n")) if ln.strip()]
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: digest ``h``, doc_id, line number ``n``, band keys ``keys``.
+def short(h: bytes) -> int:
+    """The part of a digest that the index carries.  Two lines that share it only meet in a verification."""
+    return int.from_bytes(h[:8], "little", signed=True)
 
-    A line that a task has met before comes without keys; one row of each line in each task has them.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[bytes] = set()
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts, 1 << 22):
-                rows = [(i, k, ln, digest(ln)) for i, t in zip(ids[a:b], texts[a:b], strict=True) for k, ln in _worded(t)]
-                if len(met) > 500_000:
-                    met.clear()
-                fresh = {}
-                for _, _, ln, h in rows:
-                    if h not in met:
-                        met.add(h)
-                        fresh[h] = ln
-                keys = dict(zip(fresh, (k.tobytes() for k in band_keys(list(fresh.values()))), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[3] for r in rows], pa.binary()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([keys.pop(r[3], None) for r in rows], pa.binary())],
-                    names=["h", "doc_id", "n", "keys"],
-                )
+def occurrences(docs: DataFrame) -> DataFrame:
+    """A row for each line with a word: digest ``h``, doc_id, line number ``n``."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(digest(ln), i, k) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, ln in _worded(t)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["h", "doc_id", "n"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(run, "h binary, doc_id long, n long, keys binary")
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(per_batch(run), "h binary, doc_id long, n long")
 
 
-def buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, part, h): the members of every band key that several lines share.
+def buckets(docs: DataFrame) -> DataFrame:
+    """(bucket, part, s): the short digests of every band key that several lines share.
 
-    The same set of lines under several keys is one bucket; a large bucket is repeated for pairs of its blocks.
+    A task indexes a line once; the same set of lines under several keys is one bucket; a large bucket is
+    repeated for pairs of its blocks.
     """
 
-    def indexed(batches):
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            h = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), h], names=["k", "h"])
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts, 1 << 22):
+                if len(met) > 500_000:
+                    met.clear()
+                fresh = {}
+                for line in {ln for t in texts[a:b] for _, ln in _worded(t)}:
+                    if (s := short(digest(line))) not in met:
+                        fresh[line] = s
+                met.update(fresh.values())
+                if fresh:
+                    keys = band_keys(list(fresh))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.fromiter(fresh.values(), np.int64, len(fresh)), BANDS))], names=["k", "s"])
 
     def shared(batches):
         got = [b for b in batches if b.num_rows]
         if not got:
             return
-        keys = np.concatenate([b.column(0).to_numpy() for b in got])
-        order = np.argsort(keys, kind="stable")
-        k = keys[order]
-        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        sizes = np.diff(np.append(starts, len(k)))
-        h = pa.concat_arrays([b.column(1) for b in got])
-        for s, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
-            members = sorted(set(h.take(pa.array(order[s : s + n])).to_pylist()))
-            if len(members) > 1:
-                yield blake2b(b"".join(members), digest_size=8).digest(), members
+        keys, ids = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in (0, 1))
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
+        keys, ids = keys[fresh], ids[fresh]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        sizes = np.diff(np.append(starts, len(keys)))
+        for at, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
+            members = ids[at : at + n]
+            yield int.from_bytes(blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True), members
 
     def emitted(batches):
-        out: list[tuple[int, int, bytes]] = []
+        out: list[tuple[int, int, np.ndarray]] = []
         for name, members in shared(batches):
-            number = int.from_bytes(name, "little", signed=True)
             blocks = [members[i : i + MOST_TOGETHER] for i in range(0, len(members), MOST_TOGETHER)]
             pairs = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks)) if j > i or len(blocks) == 1]
-            for part, (i, j) in enumerate(pairs):
-                out += [(number, part, m) for m in (blocks[i] if i == j else blocks[i] + blocks[j])]
-            if len(out) > 50_000:
-                yield _batch(out)
+            out += [(name, part, blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]])) for part, (i, j) in enumerate(pairs)]
+            if len(out) > 10_000:
+                yield rows(out)
                 out = []
         if out:
-            yield _batch(out)
+            yield rows(out)
 
-    def _batch(out):
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["bucket", "part", "h"])
+    def rows(out):
+        sizes = [len(r[2]) for r in out]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat([r[0] for r in out], sizes)), pa.array(np.repeat([r[1] for r in out], sizes)), pa.array(np.concatenate([r[2] for r in out]))], names=["bucket", "part", "s"])
 
-    index = nodes.select("h", "keys").mapInArrow(indexed, "k long, h binary")
-    return index.repartition(F.col("k")).mapInArrow(emitted, "bucket long, part long, h binary").distinct()
+    index = docs.select(text_bytes().alias("text")).mapInArrow(indexed, "k long, s long")
+    return index.repartition(F.col("k")).mapInArrow(emitted, "bucket long, part long, s long").distinct()
 
 
 def similar_pairs(lines: list[bytes], least: float = SIMILAR) -> list[tuple[int, int]]:
@@ -194,17 +191,14 @@ def similar_pairs(lines: list[bytes], least: float = SIMILAR) -> list[tuple[int,
 
 def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Edges (a, b) of digests of similar lines, verified on the lines of ``docs``."""
-    wanted = spill(members.select(F.xxhash64("h").alias("_k")).distinct(), "wanted")
+    wanted = spill(members.select("s").distinct(), "wanted")
 
-    def lines(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 1 << 22):
-                found = {digest(ln): ln for t in texts[a:b] for _, ln in _worded(t)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["h", "line"])
+    def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = {digest(ln): ln for t in batch.column(0).to_pylist() for _, ln in _worded(t)}
+        return pa.RecordBatch.from_arrays([pa.array([short(h) for h in found], pa.int64()), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["s", "h", "line"])
 
-    texts = docs.select(text_bytes().alias("text")).mapInArrow(lines, "h binary, line binary")
-    texts = texts.withColumn("_k", F.xxhash64("h")).join(small_or_shuffled(wanted), "_k", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    texts = docs.select(text_bytes().alias("text")).mapInArrow(per_batch(lines), "s long, h binary, line binary")
+    texts = texts.join(small_or_shuffled(wanted), "s", "left_semi").groupBy("s", "h").agg(F.min("line").alias("line"))
 
     def verified(batches):
         got: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
@@ -216,7 +210,7 @@ def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             if pairs := similar_pairs([line for _, line in rows]):
                 yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in pairs], pa.binary()), pa.array([rows[j][0] for _, j in pairs], pa.binary())], names=["a", "b"])
 
-    joined = members.join(texts, "h").select("bucket", "part", "h", "line")
+    joined = members.join(texts, "s").select("bucket", "part", "h", "line")
     return joined.repartition("bucket", "part").mapInArrow(verified, "a binary, b binary")
 
 
@@ -224,11 +218,11 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(occurrences: h, doc_id, n) and (lines: h, root, copies, first as a struct of no_id, doc_id and n)."""
     seen = spill(occurrences(docs), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n")
-    nodes = spill(seen.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.max("keys").alias("keys")), "nodes")
-    members = spill(buckets(nodes), "buckets")
+    nodes = spill(seen.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "nodes")
+    members = spill(buckets(docs), "buckets")
     roots = components(similar_links(docs, members))
-    rooted = nodes.select("h", "first", "copies").join(roots, nodes["h"] == roots["node"], "left").select("h", F.coalesce("root", "h").alias("root"), "first", "copies")
-    return seen.select("h", "doc_id", "n"), spill(rooted, "rooted")
+    rooted = nodes.join(roots, nodes["h"] == roots["node"], "left").select("h", F.coalesce("root", "h").alias("root"), "first", "copies")
+    return seen, spill(rooted, "rooted")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
