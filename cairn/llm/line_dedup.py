@@ -159,14 +159,21 @@ def buckets(docs: DataFrame) -> DataFrame:
     return index.repartition(F.col("k")).mapInArrow(emitted, "bucket long, part long, s long").distinct()
 
 
-def similar_pairs(lines: list[bytes], least: float = SIMILAR) -> list[tuple[int, int]]:
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    out: list[np.ndarray] = []
+    for a, b in slices(lines):
+        hashes, starts = shingle_hashes(lines[a:b])
+        out += [np.unique(s) for s in np.split(hashes, starts[1:])]
+    return out
+
+
+def similar_pairs(lines: list[bytes], least: float = SIMILAR, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Pairs of line numbers that connect all lines whose shingle sets have a Jaccard similarity of ``least``.
 
     Many lines are first compared by signature: of a pair at ``least``, one in a million or so would have
     under ``least - 0.3`` of its values in common.
     """
-    hashes, starts = shingle_hashes(lines)
-    sets = [np.unique(s) for s in np.split(hashes, starts[1:])]
+    sets = shingle_sets(lines) if sets is None else sets
     sizes = np.array([len(s) for s in sets])
     values = signatures(lines) if len(lines) > 32 else None
     left, found = np.argsort(sizes, kind="stable"), []
@@ -205,10 +212,14 @@ def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
         for batch in batches:
             for bucket, part, h, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 got.setdefault((bucket, part), []).append((h, line))
+        lines = {h: line for rows in got.values() for h, line in rows}
+        sets = dict(zip(lines, shingle_sets(list(lines.values())), strict=True))  # each line once, whatever its buckets
+        found: set[tuple[bytes, bytes]] = set()
         for rows in got.values():
             rows.sort()
-            if pairs := similar_pairs([line for _, line in rows]):
-                yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in pairs], pa.binary()), pa.array([rows[j][0] for _, j in pairs], pa.binary())], names=["a", "b"])
+            found.update((rows[i][0], rows[j][0]) for i, j in similar_pairs([line for _, line in rows], sets=[sets[h] for h, _ in rows]))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
     joined = members.join(texts, "s").select("bucket", "part", "h", "line")
     return joined.repartition("bucket", "part").mapInArrow(verified, "a binary, b binary")
