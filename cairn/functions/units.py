@@ -32,7 +32,7 @@ def size_with_unit(size: Column) -> Column:
     places = F.when(whole >= 1000, 0).when(whole >= 100, 1).when(whole >= 10, 2).otherwise(3)
     text = F.lit(None)
     for p in range(4):
-        text = F.when(places == p, F.format_string(f"%.{p}f", value)).otherwise(text)
+        text = F.when(places == p, F.format_string(f"%.{p}f", F.bround(value, p))).otherwise(text)
     trimmed = F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
     return F.concat(trimmed, F.lit(" "), F.element_at(F.array(*map(F.lit, SIZE_UNITS)), k + 1))
 

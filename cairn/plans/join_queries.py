@@ -38,9 +38,9 @@ def j02(spark, d):
     return e.join(ranked, "h").select("ino", "content_ix")
 
 
-@query("j03_content_chunks", f"WITH {CHUNKS} SELECT file, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS size, min(block) AS low_block, max(block) AS high_block FROM c WHERE file % 3 = 0 GROUP BY file")
+@query("j03_content_chunks", f"WITH {CHUNKS} SELECT file, count(*) AS chunks, CAST(sum(size) AS BIGINT) AS size, min(block) AS low_block, max(block) AS high_block FROM c WHERE file IN (SELECT o_orderkey FROM orders) GROUP BY file")
 def j03(spark, d):
-    files = table(spark, d, "orders").select(F.col("o_orderkey").alias("file")).where("file % 3 = 0")
+    files = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"))
     return chunks(spark, d).join(files, "file", "left_semi").groupBy("file").agg(F.count("*").alias("chunks"), F.sum("size").alias("size"), F.min("block").alias("low_block"), F.max("block").alias("high_block"))
 
 
@@ -126,12 +126,12 @@ def j15(spark, d):
 
 @query(
     "j16_hash_residual",
-    "SELECT a.l_orderkey AS file, b.l_orderkey AS other, count(*) AS matches FROM (SELECT * FROM lineitem WHERE l_orderkey % 40 = 0) a JOIN (SELECT * FROM lineitem WHERE l_orderkey % 40 = 1) b ON a.l_partkey = b.l_partkey AND a.l_quantity = b.l_quantity GROUP BY ALL",
+    "SELECT a.l_orderkey AS file, b.l_orderkey AS other, count(*) AS matches FROM (SELECT * FROM lineitem WHERE l_returnflag = 'A') a JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') b ON a.l_partkey = b.l_partkey AND a.l_quantity = b.l_quantity GROUP BY ALL",
 )
 def j16(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.xxhash64("l_partkey", "l_quantity").alias("h"))
-    a = li.where("l_orderkey % 40 = 0").select("h", F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"))
-    b = li.where("l_orderkey % 40 = 1").withColumnRenamed("l_orderkey", "other")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_partkey", "l_quantity", F.xxhash64("l_partkey", "l_quantity").alias("h"))
+    a = li.where("l_returnflag = 'A'").select("h", F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("q"))
+    b = li.where("l_returnflag = 'R'").withColumnRenamed("l_orderkey", "other")
     verified = (F.col("p") == F.col("l_partkey")) & (F.col("q") == F.col("l_quantity"))
     return a.join(b, "h").where(verified).groupBy("file", "other").agg(F.count("*").alias("matches"))
 
