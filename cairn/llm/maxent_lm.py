@@ -70,11 +70,18 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+class Known(dict):
+    """Word to number; -1 for any other word, which is not remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 @dataclass
 class Vocabulary:
     """Known words with their number and class; the first ``modelled`` numbers are modelled words, in class order."""
 
-    number: dict[bytes, int]
+    number: Known
     klass: np.ndarray  # class of each known number
     count: np.ndarray  # log10(count + 1) of each known number
     starts: np.ndarray  # first modelled number of each head class, and the end
@@ -105,7 +112,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         kinds[k] -= 1
     mass = np.concatenate([np.bincount(head, n[:modelled], HEAD), size]) + 1.0
     return Vocabulary(
-        {w: k for k, w in enumerate(words)}, klass, np.log10(n + 1.0), np.searchsorted(head, np.arange(HEAD + 1)), np.log10(size + kinds + 1), np.log(mass / mass.sum()), total, distinct
+        Known((w, k) for k, w in enumerate(words)), klass, np.log10(n + 1.0), np.searchsorted(head, np.arange(HEAD + 1)), np.log10(size + kinds + 1), np.log(mass / mass.sum()), total, distinct
     )
 
 
@@ -116,8 +123,7 @@ class Encoded:
         split = [words_of(t) for t in texts]
         self.lengths = np.array([len(w) for w in split], np.int64)
         flat = [w for words in split for w in words]
-        get = v.number.get
-        self.number = np.fromiter((get(w, -1) for w in flat), np.int64, len(flat))
+        self.number = np.fromiter(map(v.number.__getitem__, flat), np.int64, len(flat))
         self.unknown = {i: flat[i] for i in np.flatnonzero(self.number < 0)}
         self.klass = v.klass[self.number].astype(np.int64) if len(v.klass) else np.zeros(len(flat), np.int64)
         for i, w in self.unknown.items():
@@ -130,7 +136,7 @@ class Encoded:
         self.before = np.where(position >= 1, np.concatenate([[0], self.klass[:-1] + 1]), 0) if len(flat) else self.tag
         base = np.cumsum((0, *ROWS))
         mixes = [back[0], back[1] + 7_919, back[0] * 8_191 + back[1]]
-        self.rows = np.stack([base[k] + ((m.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % ROWS[k] for k, m in enumerate(mixes)], axis=1)
+        self.rows = np.stack([base[k] + ((m.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - ROWS[k].bit_length())).astype(np.int64) for k, m in enumerate(mixes)], axis=1)
 
 
 def log_classes(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -168,8 +174,9 @@ def train_pass(texts, v: Vocabulary, weights: np.ndarray) -> tuple[np.ndarray, n
 
 def step(weights, squares, updates, rows, g, n) -> None:
     """An AdaGrad update, with one rate for each row."""
-    squares[rows] += (g * g).mean(axis=1, keepdims=True)
-    weights[rows] -= _RATE * g / np.sqrt(squares[rows])
+    now = squares[rows] + np.einsum("ij,ij->i", g, g)[:, None] / CLASSES
+    squares[rows] = now
+    weights[rows] -= g * (_RATE / np.sqrt(now))
     updates[rows] += n
 
 
@@ -229,11 +236,11 @@ def fit(texts: DataFrame, counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np
                 numbers.append(updates[at : at + size].tobytes())
                 values.append(((new - old)[at : at + size] * updates[at : at + size, None]).astype(np.float32).tobytes())
         found = np.flatnonzero(pairs)
-        for at in range(0, len(found), 20_000):
-            blocks.append(-1 - at // 20_000)
+        for part in np.split(found, np.flatnonzero(np.diff(found // MODELLED)) + 1) if len(found) else []:
+            blocks.append(-1 - int(part[0]) // MODELLED)  # all pairs of one class before meet in one task
             kinds.append(1)
-            numbers.append(found[at : at + 20_000].tobytes())
-            values.append(pairs[found[at : at + 20_000]].tobytes())
+            numbers.append(part.tobytes())
+            values.append(pairs[part].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(kinds, pa.int32()), pa.array(numbers, pa.binary()), pa.array(values, pa.binary())], names=["block", "kind", "numbers", "vals"])
 
     def summed(batches):
@@ -259,7 +266,7 @@ def fit(texts: DataFrame, counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np
     schema = "block int, kind int, numbers binary, vals binary"
     deltas = texts.select("text").mapInArrow(run, schema).repartition(F.col("block")).mapInArrow(summed, schema)
     pairs = np.zeros((CLASSES + 1) * MODELLED, np.int64)
-    for r in deltas.collect():  # bounded: the weights once, and each pair of a class and a word at most once for each block of pairs
+    for r in deltas.collect():  # bounded: each row of weights once, and each pair of a class and a word once
         if r["kind"] == 0:
             mean = np.frombuffer(r["vals"], np.float32).reshape(-1, CLASSES)
             weights[r["block"] * size : r["block"] * size + len(mean)] += mean
