@@ -67,7 +67,8 @@ def time_with_unit(ns: Column) -> Column:
         whole = (value - value % F.lit(scale)) / F.lit(scale)
         out = None
         for p in range(4):
-            part = F.expr("0") if p == 0 else F.floor((value % F.lit(scale)).cast("decimal(38,0)") * F.lit(10**p) / F.lit(scale)).cast("long")
+            scaled = (value % F.lit(scale)) * F.lit(10**p)
+            part = ((scaled - scaled % F.lit(scale)) / F.lit(scale)).cast("long")
             text = whole.cast("long").cast("string")
             if p:
                 text = F.when(part > 0, F.concat(text, F.lit("."), F.regexp_replace(F.lpad(part.cast("string"), p, "0"), "0+$", ""))).otherwise(text)
