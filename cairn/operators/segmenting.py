@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,7 @@ class Segmenter:
         self.blocks = [_Block(0)]
         self.done: list[_Block] = []
         self.chunks: list[tuple] = []
+        self.fresh: list[int] = []  # hashes indexed since this was last looked at
         self.stats = {"good": 0, "bad": 0, "reused": 0}
         self.constant = {constant_hash(b, config.window): b for b in range(256)} if config.window else {}
 
@@ -98,6 +100,7 @@ class Segmenter:
                                 continue
                             b.constants.add(byte)
                         b.index[h].append(end - w)
+                        self.fresh.append(h)
             if len(b.data) >= self.c.capacity:
                 self.done.append(b)
                 self.blocks.append(_Block(b.number + 1))
@@ -122,32 +125,56 @@ class Segmenter:
         return best
 
     def add(self, key, data: bytes) -> None:
-        w, g = self.c.window, self.c.granularity
+        """Scan a content.  Only positions whose window hash the index has, or gets while the content is written, are tried."""
+        w, g, step = self.c.window, self.c.granularity, self.c.step
         if not w or len(data) < w:
             self._append(key, data)
             return
         hashes = rolling_hashes(data, w)
+        places = np.argsort(hashes, kind="stable")
+        ordered = hashes[places]
+        known = np.array([h for b in self.blocks for h in b.index], np.int64)
+        waiting = np.flatnonzero(np.isin(hashes, known)).tolist()  # sorted, so a heap
         at = written = 0
-        while at + w <= len(data):
-            h = int(hashes[at])
-            found = self._match(data, at, h, written) if any(h in b.index for b in self.blocks) else None
-            if found:
+        self.fresh.clear()
+
+        def write(end: int) -> None:
+            nonlocal written
+            self._append(key, data[written:end])
+            written = end
+            for h in self.fresh:
+                low, high = np.searchsorted(ordered, [h, h + 1])
+                for p in places[low:high][places[low:high] >= at]:
+                    heappush(waiting, int(p))
+            self.fresh.clear()
+
+        flush = w + step  # what is far enough behind the window is written, up to where the next index entry falls
+        while True:
+            while waiting and (waiting[0] < at or (waiting[0] - at) % g):
+                heappop(waiting)
+            next_match = waiting[0] if waiting else len(data)
+            at = min(next_match, max(at, flush))
+            if at + w > len(data):
+                break
+            if at >= flush:
+                room = at - written - step
+                room -= (len(self.blocks[-1].data) + room) % step
+                room -= room % g
+                if room > 0:
+                    write(written + room)
+                flush = max(written + w + step, at + g)
+                continue
+            heappop(waiting)
+            if found := self._match(data, at, int(hashes[at]), written):
                 size, block, offset, back = found
-                self._append(key, data[written : at - back])
+                write(at - back)
                 self._emit(key, block, offset, size)
                 self.stats["good"] += 1
                 self.stats["reused"] += size
                 at = written = at - back + size
-                continue
-            at += g
-            # what is far enough behind the window is written, up to where the next index entry falls
-            if at - written >= w + self.c.step:
-                room = (at - written - self.c.step) - (len(self.blocks[-1].data) + at - written - self.c.step) % self.c.step
-                if room > 0:
-                    room -= room % g
-                    self._append(key, data[written : written + room])
-                    written += room
+                flush = written + w + step
         self._append(key, data[written:])
+        self.fresh.clear()
 
     def finish(self) -> list[tuple[int, bytes]]:
         last = self.blocks[-1]
