@@ -33,8 +33,8 @@ MARK = "▁"
 _LITERAL = "\udcff"
 #: Pieces never hold a space mark after another character, nor a line end, so the search may restart there.
 _SEGMENTS = re.compile(r" +[^ \n]*|[^ \n]+|\n")
-#: Longest segment kept in the table of known segments.
-_SHORT = 64
+#: Longest segment kept in the tables of known segments, and how many each of the two holds.
+_SHORT, _REMEMBERED = 64, 250_000
 
 
 class Vocabulary:
@@ -50,21 +50,25 @@ class Vocabulary:
         inner = {p for p in self.id if len(p.strip(MARK)) and (MARK in p.lstrip(MARK) or "\n" in p)}
         if inner:
             raise ValueError(f"pieces that cross words: {sorted(inner)[:3]}")
-        self.prefix: dict[str, int] = {}  # each prefix of a piece: its id, or -1 if it is none
+        self.trie: dict = {}  # character to the node after it; under 0 the id of the piece that ends in a node
+        made: dict[str, int] = {}
         self.left: dict[int, list[int]] = {}
         self.right: dict[int, list[int]] = {}
         for p in sorted(self.id, key=len):
             halves = self.merged(p, 2)
-            if len(p) > 1 and (len(halves) != 2 or not all(h in self.id and self.prefix.get(h, -1) >= 0 for h in halves)):
+            if len(p) > 1 and (len(halves) != 2 or not all(h in made for h in halves)):
                 continue  # the merges never make this piece
             i, spine = self.id[p], [self.id[h] for h in halves] if len(p) > 1 else []
             self.left[i] = [*(self.left[spine[0]] if spine else []), i]
             self.right[i] = [*(self.right[spine[1]] if spine else []), i]
-            for k in range(1, len(p)):
-                self.prefix.setdefault(p[:k], -1)
-            self.prefix[p] = i
+            made[p] = i
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[0] = i
         self.apart: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # segments seen lately
+        self.older: dict[str, bytes] = {}  # and before those
 
     @classmethod
     def load(cls, model: str = MODEL) -> Vocabulary:
@@ -95,7 +99,7 @@ class Vocabulary:
         key = a << 20 | b
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > 500_000:
                 self.apart.clear()
             right, left, names, points, i, j, known = self.right[a], self.left[b], self.names, self.points, 0, 0, True
             while True:
@@ -122,20 +126,21 @@ class Vocabulary:
         return struct.pack(f"<{len(ids)}i", *ids)
 
     def __getstate__(self):
-        return self.__dict__ | {"known": {}, "apart": {}}
+        return self.__dict__ | {"known": {}, "older": {}, "apart": {}}
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
         if not text:
             return b""
-        known, out = self.known, []
+        known, older, out = self.known, self.older, []
         for segment in _SEGMENTS.findall(f" {text}"):
             ids = known.get(segment)
             if ids is None:
-                ids = self.encode_segment(segment.replace(MARK, _LITERAL).replace(" ", MARK))
+                ids = older.get(segment) or self.encode_segment(segment.replace(MARK, _LITERAL).replace(" ", MARK))
                 if len(segment) <= _SHORT:
-                    if len(known) > 1_500_000:
-                        known.clear()
+                    if len(known) >= _REMEMBERED:
+                        self.older, self.known = known, {}
+                        known, older = self.known, self.older
                     known[segment] = ids
             out.append(ids)
         return b"".join(out)
@@ -175,21 +180,26 @@ class Stream:
 
     def _search(self, until: int) -> None:
         """Extend the paths that end before boundary ``until``; no piece from there on is in sight as a whole yet."""
-        v, text, last, back, prefix, apart = self.v, self.text, self.last, self.back, self.v.prefix, self.v.apart
+        v, text, last, back, trie, apart = self.v, self.text, self.last, self.back, self.v.trie, self.v.apart
         n = len(text)
         last += [-1] * (n + 1 - len(last))
         back += [-1] * (n + 1 - len(back))
         for start in range(self.done, until):
             if start and back[start] < 0:
                 continue
-            before = last[start]
-            for end in range(start + 1, n + 1):
-                piece = prefix.get(text[start:end])
-                if end == start + 1 and (piece is None or piece < 0):  # no piece: the character's bytes, which merge with nothing
-                    last[end], back[end] = -1, start
-                if piece is None:
+            before, node, end = last[start], trie, start
+            while end < n:
+                node = node.get(text[end])
+                end += 1
+                if node is None:
+                    if end == start + 1:  # no piece: the character's bytes, which merge with nothing
+                        last[end], back[end] = -1, start
                     break
-                if piece >= 0 and back[end] < 0:
+                piece = node.get(0)
+                if piece is None:
+                    if end == start + 1:
+                        last[end], back[end] = -1, start
+                elif back[end] < 0:
                     ok = before < 0 or apart.get(before << 20 | piece)
                     if ok or (ok is None and v.stay_apart(before, piece)):
                         last[end], back[end] = piece, start

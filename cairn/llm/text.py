@@ -19,7 +19,7 @@ def plain_words(text: bytes) -> list[bytes]:
 class WordHashes(dict):
     """Word to its 64-bit hash, remembered for a bounded number of words."""
 
-    def __init__(self, most: int = 1_000_000, seed: int = 0):
+    def __init__(self, most: int = 250_000, seed: int = 0):
         self.most, self.seed = most, seed
 
     def __missing__(self, word: bytes) -> int:
