@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("scan", "join", "aggregate", "order", "read", "kernel", "stream"):
+for _name in ("scan", "join", "aggregate", "order", "read", "kernel", "stream", "more"):
     import_module(f".{_name}_queries", __name__)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -71,3 +71,24 @@ def test_similarity_order_is_a_permutation():
 
     v = np.random.default_rng(4).integers(0, 1 << 62, (600, 4), dtype=np.uint64)
     assert sorted(similarity.order(v, np.arange(600), most_size=50, most_children=8)) == list(range(600))
+
+
+def test_files_there_and_back(spark, tmp_path):
+    import io
+    import tarfile
+
+    from cairn.functions.globbing import parse_rules
+    from cairn.sources.files import archives, extract, read_list, read_tree
+
+    for name, content in {"a/x.txt": b"one", "a/b/y.bin": b"\0\1", "z.txt": b"z"}.items():
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_bytes(content)
+    root = f"file://{tmp_path}/in"
+    files = read_tree(spark, root)
+    assert {r["path"]: bytes(r["content"]) for r in files.collect()} == {"/a/x.txt": b"one", "/a/b/y.bin": b"\0\1", "/z.txt": b"z"}
+    assert [r["path"] for r in read_tree(spark, root, parse_rules("+ *.bin\n- *")).collect()] == ["/a/b/y.bin"]
+    listed = spark.createDataFrame([("z.txt", 0), ("./a//x.txt", 1), ("z.txt", 2)], "path string, position long")
+    assert {r["path"]: r["order_index"] for r in read_list(spark, root, listed).collect()} == {"/z.txt": 0, "/a/x.txt": 1}
+    assert extract(files, f"{tmp_path}/out") == 3 and (tmp_path / "out/a/b/y.bin").read_bytes() == b"\0\1"
+    names = [m.name for r in archives(files, 2).collect() for m in tarfile.open(fileobj=io.BytesIO(r["archive"])).getmembers()]
+    assert sorted(names) == ["a/b/y.bin", "a/x.txt", "z.txt"]
