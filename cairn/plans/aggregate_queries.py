@@ -30,7 +30,7 @@ def a03(spark, d):
 @query("a04_fragment_info", f"WITH {CHUNKS} SELECT category, block AS subcategory, count(*) AS fragments, CAST(sum(size) AS BIGINT) AS total_size, row_number() OVER (ORDER BY sum(size) DESC, category, block) AS position FROM c GROUP BY category, block")
 def a04(spark, d):
     g = chunks(spark, d).groupBy("category", F.col("block").alias("subcategory")).agg(F.count("*").alias("fragments"), F.sum("size").alias("total_size"))
-    return g.withColumn("position", F.row_number().over(Window.orderBy(F.desc("total_size"), "category", "subcategory")))  # a row a category
+    return g.withColumn("position", F.row_number().over(Window.orderBy(F.desc("total_size"), "category", "subcategory")).cast("long"))  # a row a category
 
 
 @query("a05_category_report", f"WITH {CHUNKS} SELECT category, count(DISTINCT block) AS blocks, CAST(sum(size) AS BIGINT) AS size, CAST(coalesce(sum(size) FILTER (WHERE NOT hole), 0) AS BIGINT) AS stored FROM c GROUP BY category")
@@ -100,7 +100,7 @@ def a12(spark, d):
 @query("a13_top_buckets", "SELECT lang, bucket, n, rank FROM (SELECT lang, length(text) % 16 AS bucket, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, length(text) % 16) AS rank FROM documents GROUP BY lang, length(text) % 16) WHERE rank <= 4")
 def a13(spark, d):
     g = table(spark, d, "documents").groupBy("lang", (F.length("text") % 16).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
-    return g.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "bucket"))).where("rank <= 4")
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "bucket")).cast("long")).where("rank <= 4")
 
 
 @query("a14_centroid", f"WITH {VECTORS}, b AS (SELECT label, k, sum((bits >> k) & 1) AS ones, count(*) AS n FROM v, range(63) r(k) GROUP BY label, k) SELECT label, any_value(n) AS n, CAST(sum(CASE WHEN ones > n // 2 THEN 1::BIGINT << k ELSE 0 END) AS BIGINT) AS centroid FROM b GROUP BY label")

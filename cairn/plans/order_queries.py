@@ -161,7 +161,7 @@ def p10(spark, d):
 @query("p11_top4", f"WITH {CHUNKS}, g AS (SELECT category, block, count(*) AS n FROM c GROUP BY ALL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, block) AS rank FROM g) WHERE rank <= 4")
 def p11(spark, d):
     g = chunks(spark, d).groupBy("category", "block").agg(F.count("*").alias("n"))
-    return g.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "block"))).where("rank <= 4")
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "block")).cast("long")).where("rank <= 4")
 
 
 @query("p12_best_match", f"WITH {CHUNKS} SELECT file, m.s AS size, m.b AS block, m.o AS \"offset\" FROM (SELECT file, max(struct_pack(s := size, b := block, o := \"offset\")) AS m FROM c GROUP BY file)")
