@@ -1,15 +1,15 @@
 """Queries with SQL against DuckDB; the others against brute force on the small tables."""
 
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from math import log10
 
 import duckdb
 import pytest
-import xxhash
+from brute import line_keepers, near_components
 from compare import connection, rows_of_spark, rows_of_sql
 
-from cairn.llm import line_dedup, queries
+from cairn.llm import queries
 from cairn.llm.sentencepiece_codec import MODEL
 
 
@@ -36,20 +36,6 @@ def residue(d, m):
     return zlib.crc32(str(d).encode()) % m
 
 
-class Union:
-    def __init__(self, keys):
-        self.up = {k: k for k in keys}
-
-    def find(self, x):
-        while self.up[x] != x:
-            x = self.up[x]
-        return x
-
-    def join(self, a, b):
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-
-
 def test_op1_counts_and_verdicts(spark, sf, docs, labels):
     got = run(spark, sf, "op1_quality_rules")
     assert got.keys() == docs.keys()
@@ -95,38 +81,11 @@ def test_op4_held_out(spark, sf):
 
 def test_op5_components(spark, sf, docs):
     got = run(spark, sf, "op5_simhash")
-
-    def fingerprint(t):
-        w = t.encode().lower().split()
-        hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-
-    f = {d: fingerprint(t) for d, t in docs.items()}
-    u, ids = Union(f), sorted(f)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if (f[a] ^ f[b]).bit_count() <= 4:
-                u.join(a, b)
-    assert {d: (r["fingerprint"], r["component_id"]) for d, r in got.items()} == {d: (f"{f[d]:016x}", u.find(d)) for d in f}
+    assert {d: (r["fingerprint"], r["component_id"]) for d, r in got.items()} == {d: (f"{f:016x}", c) for d, (f, c) in near_components(docs).items()}
 
 
 def test_op6_components(spark, sf, docs):
-    rows = [(d, k, line) for d, t in sorted(docs.items()) for k, line in enumerate(t.split("\n")) if line.encode().strip()]
-    lines = list(dict.fromkeys(line for _, _, line in rows))
-    number = {line: i for i, line in enumerate(lines)}
-    n = line_dedup.SHINGLE
-    sets = [{line[i : i + n] for i in range(max(1, len(line) - n + 1))} for line in lines]
-    held, u = defaultdict(list), Union(range(len(lines)))
-    for i, s in enumerate(sets):
-        for j, common in Counter(j for g in s for j in held[g]).items():
-            if common >= 0.8 * (len(s) + len(sets[j]) - common) - 1e-9:
-                u.join(i, j)
-        for g in s:
-            held[g].append(i)
-    groups = defaultdict(list)
-    for d, k, line in rows:
-        groups[u.find(number[line])].append((d, k))
-    expected = {p: min(g) for g in groups.values() if len(g) > 1 for p in g}
+    expected = line_keepers(docs)
     got = {(r["doc_id"], r["line_no"]): (r["kept_doc_id"], r["kept_line_no"]) for r in queries.op6_line_dedup(spark, sf).collect()}
     missed = sum(got.get(p) != keeper for p, keeper in expected.items())
     assert not set(got) - set(expected) and missed <= 0.01 * len(expected)
