@@ -89,10 +89,11 @@ class WindowIndex:
             yield len(words), spans, sorted(set().union(*(x[2] for x in found.get(k, []))))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = 500_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = 500_000, clean: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``_words``, ``_spans`` (arrays of start and end word) and ``_items``.
 
     The benchmark is split into blocks of about ``most_windows`` windows; each block is one pass.
+    With ``clean`` the last pass gives the columns of ``docs`` only, as ``decontaminated`` says.
     """
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -105,7 +106,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windo
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         shared = docs.sparkSession.sparkContext.broadcast(WindowIndex([(r["item_id"], bytes(r["text"])) for r in rows], window))
 
-        def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+        last = clean and block == blocks - 1
+
+        def run(batch: pa.RecordBatch, shared=shared, last=last) -> pa.RecordBatch:
             texts = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
             old = zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True)
             words, spans, items = [], [], []
@@ -115,10 +118,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windo
                     words.append(n)
                     spans.append(_merged([*before, *s]))
                     items.append(sorted({*seen, *i}))
+            if last:
+                return _cleaned(batch, names, texts, words, spans)
             long = pa.int64()
             return pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(words, long), pa.array(spans, pa.list_(pa.list_(long))), pa.array(items, pa.list_(long))], names=[*names, "_words", "_spans", "_items"])
 
-        out = out.mapInArrow(per_batch(run), schema)
+        out = out.mapInArrow(per_batch(run), docs.schema if last else schema)
         if blocks > 1:
             out = spill(out, "scan")
     return out
@@ -156,20 +161,23 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
 _KEPT = bytes(c if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def _cleaned(batch: pa.RecordBatch, names: list[str], texts: list[bytes], words: list[int], spans: list) -> pa.RecordBatch:
+    """The rows that are not contaminated, without their hit spans."""
+    hits = [sum(b - a for a, b in s) for s in spans]
+    kept = [k for k, h in enumerate(hits) if not h or 20 * h < words[k]]
+    rows = batch.take(pa.array(kept, pa.int64()))
+    columns = list(rows.columns[: len(names)])
+    if any(hits[k] for k in kept):
+        at = names.index("text")
+        done = [without_spans(texts[k].decode(), spans[k]) if hits[k] else t for k, t in zip(kept, columns[at].to_pylist(), strict=True)]
+        columns[at] = pa.array(done, columns[at].type)
+        if "n_chars" in names:
+            at = names.index("n_chars")
+            sizes = [len(t) if hits[k] else n for k, t, n in zip(kept, done, columns[at].to_pylist(), strict=True)]
+            columns[at] = pa.array(sizes, columns[at].type)
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated documents, and without the passages that others share with the benchmark."""
-    names = docs.columns
-    at, sized = names.index("text"), names.index("n_chars") if "n_chars" in names else None
-
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, columns = batch.column(len(names)).to_pylist(), list(batch.columns[: len(names)])
-        if any(spans):
-            texts = columns[at].to_pylist()
-            done = [without_spans(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-            columns[at] = pa.array(done, columns[at].type)
-            if sized is not None:
-                sizes = columns[sized].to_pylist()
-                columns[sized] = pa.array([len(t) if s else n for t, s, n in zip(done, spans, sizes, strict=True)], columns[sized].type)
-        return pa.RecordBatch.from_arrays(columns, names=names)
-
-    return scan(docs, benchmark).where(~contaminated()).select(*names, "_spans").mapInArrow(per_batch(cut), docs.schema)
+    return scan(docs, benchmark, clean=True)

@@ -113,7 +113,7 @@ def buckets(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts, 1 << 22):
-                if len(met) > 500_000:
+                if len(met) > 200_000:
                     met.clear()
                 fresh = {}
                 for line in {ln for t in texts[a:b] for _, ln in _worded(t)}:

@@ -11,6 +11,7 @@ without labels of both kinds every score is 1.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,12 @@ class _Shapes(WordHashes):
 _words, _shapes = WordHashes(seed=4), _Shapes(seed=5)
 
 
+def forget_words() -> None:
+    """Give the words' memory back at a task's end: the worker lives on and runs other stages."""
+    _words.clear()
+    _shapes.clear()
+
+
 def features_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Feature number of every n-gram, the weight of one occurrence, and where each text's features end.
 
@@ -133,10 +140,13 @@ def scored(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        if shared.value is None:
-            return pd.Series(np.ones(len(text)))
-        return pd.Series(1 / (1 + np.exp(-np.clip(margins(text.tolist(), shared.value), -30, 30))))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in batches:
+            if shared.value is None:
+                yield pd.Series(np.ones(len(text)))
+            else:
+                yield pd.Series(1 / (1 + np.exp(-np.clip(margins(text.tolist(), shared.value), -30, 30))))
+        forget_words()
 
     return docs.withColumn("_score", score(text_bytes()))
 

@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 
 #: Rows of a key table (a long and a few bytes each) that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Rows of an Arrow batch at most: texts are long, and a batch is in memory several times on its way through Python.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import per_batch
-
 #: The model's place is a parameter; only the driver reads it.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -145,6 +144,10 @@ class Vocabulary:
             out.append(ids)
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Give the memory of known segments back at a task's end: the worker lives on and runs other stages."""
+        self.known, self.older, self.apart = {}, {}, {}
+
     def decode(self, ids) -> str:
         """The text that ``encode`` was given."""
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -240,8 +243,14 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
     more = {"ids": T.ArrayType(T.IntegerType()), "n_ids": T.LongType(), "round_trip": T.BooleanType()}
     schema = T.StructType([*docs.schema.fields, *(T.StructField(k, t) for k, t in more.items())])
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                yield one(v, batch)
+        v.forget()
+
+    def one(v: Vocabulary, batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t or "" for t in batch.column(at).to_pylist()]
         found = [v.encode(t) for t in texts]
         lengths = np.array([len(x) // 4 for x in found], np.int64)
@@ -250,7 +259,7 @@ def encoded(docs: DataFrame, model: str = MODEL) -> DataFrame:
         back = [v.decode_bytes(x) == t for x, t in zip(found, texts, strict=True)]
         return pa.RecordBatch.from_arrays([*batch.columns, ids, pa.array(lengths), pa.array(back)], names=[*names, "ids", "n_ids", "round_trip"])
 
-    return docs.mapInArrow(per_batch(run), schema)
+    return docs.mapInArrow(run, schema)
 
 
 def decoded(ids: DataFrame, model: str = MODEL) -> DataFrame:
