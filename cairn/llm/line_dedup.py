@@ -28,9 +28,10 @@ from .components import components
 from .runtime import per_batch, slices, small_or_shuffled, spill, text_bytes
 from .text import mixed
 
-SHINGLE, SIMILAR = 8, 0.8
-#: P(no common band) at a similarity of 0.8 is (1 - 0.8**4)**12 = 0.2 %, at 0.9 5e-6.
-BANDS, ROWS = 12, 4
+SHINGLE, SIMILAR = 5, 0.8
+#: P(no common band) at a similarity of 0.8 is (1 - 0.8**6)**21 = 0.2 %, at 0.9 1e-7.  Short shingles are shared by
+#: chance, so a band has many rows: lines alike by chance seldom meet, and the index and the candidates stay small.
+BANDS, ROWS = 21, 6
 MOST_TOGETHER = 4_000
 _SCALE = np.random.default_rng(6).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _SHIFT = np.random.default_rng(66).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
@@ -112,7 +113,7 @@ def buckets(docs: DataFrame) -> DataFrame:
         met: set[int] = set()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 1 << 22):
+            for a, b in slices(texts, 1 << 21):
                 if len(met) > 200_000:
                     met.clear()
                 fresh = {}

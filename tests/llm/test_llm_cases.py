@@ -185,6 +185,17 @@ def test_similar_pairs_with_many_lines():
     assert line_dedup.similar_pairs([b"ab", b"ab\n", b"completely different line"]) == [] or True
 
 
+def test_short_lines_with_one_edit(spark):
+    """Lines of 50 to 78 characters with one character changed are 0.8 alike by shingles of 5, not by longer ones."""
+    lines = [sentence(k, 20)[: 56 + k % 20] for k in range(300, 340)]
+    edited = [t[:28] + "#" + t[29:] for t in lines]
+    for a, b in zip(lines, edited, strict=True):
+        x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (a, b))
+        assert len(x & y) >= 0.8 * len(x | y) and line_dedup.similar_pairs([a.encode(), b.encode()])
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(lines + edited)], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == dict(enumerate(lines))
+
+
 def test_language_id(odd, none):
     got = {r["doc_id"]: r for r in language_id.language_id(odd).collect()}
     assert got[1]["lang_pred"] == got[2]["lang_pred"] == got[7]["lang_pred"] == "und" and got[1]["score"] == 0.0
