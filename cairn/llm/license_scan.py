@@ -40,6 +40,19 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    # short declarations; up to six tokens, of which THRESHOLD asks for all
+    *((label, f"{verb} under the {name} License") for label, name in (("mit", "MIT"), ("bsd", "BSD"), ("isc", "ISC")) for verb in ("Released", "Licensed", "Distributed", "Available")),
+    *((label, f"SPDX-License-Identifier: {name}") for label, name in (("mit", "MIT"), ("bsd", "BSD-2-Clause"), ("bsd", "BSD-3-Clause"), ("isc", "ISC"), ("apache-2.0", "Apache-2.0"), ("mpl-2.0", "MPL-2.0"))),
+    ("mpl-2.0", "Mozilla Public License 2.0"),
+    ("apache-2.0", "Apache License 2.0"),
+    ("gpl-3", "GNU General Public License v3"),
+    ("gpl-3", "GPLv3"),
+    ("gpl-3", "License-Identifier: GPL-3.0"),
+    ("cc-by", "Creative Commons Attribution"),
+    ("cc-by-nc-4.0", "Creative Commons Attribution-NonCommercial 4.0"),
+    ("cc-by-sa-4.0", "Creative Commons Attribution-ShareAlike 4.0"),
+    ("cc0", "CC0"),
+    ("unlicense", "Unlicense"),
 ]
 THRESHOLD, BLOCK, STEP = 0.85, 64, 32
 

@@ -213,6 +213,17 @@ def test_license_scan(spark, none):
     assert license_scan.license_scan(none).count() == 0
 
 
+def test_short_declarations_are_labelled(spark):
+    lines = {
+        "Released under the MIT License.": "mit", "Licensed under the MIT license": "mit", "Licensed under the Apache License, Version 2.0.": "apache-2.0", "Licensed under CC BY-NC 4.0.": "cc-by-nc-4.0",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl-3", "All rights reserved.": "reserved", "Distributed under the BSD 3-Clause License": "bsd", "Available under the ISC License": "isc",
+        "SPDX-License-Identifier: MPL-2.0": "mpl-2.0", "Mozilla Public License, version 2.0": "mpl-2.0", "CC BY 4.0": "cc-by", "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa-4.0", "CC0 1.0 Universal": "cc0", "Released under the Unlicense": "unlicense",
+    }
+    docs = spark.createDataFrame([(k, f"{sentence(k)}\n{t}\n{sentence(k + 1)}") for k, t in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"].split(","), r["score"]) for r in license_scan.license_scan(docs).collect()}
+    assert all(label in got[k][0] and got[k][1] > 0 for k, label in enumerate(lines.values()))
+
+
 def test_filters_lose_no_match():
     r = random.Random(12)
     vocabulary = [w for _, t in license_scan.TEMPLATES for w in license_scan.plain_words(t.encode())] + [b"filler%d" % k for k in range(30)]
