@@ -26,21 +26,21 @@ from .text import plain_words
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Sentences that public licences ask to be printed, and the label of each.
+#: Sentences that public licences ask to be printed, and the label of each.  A short one has six distinct
+#: tokens at most, so that THRESHOLD asks for all of them: one of seven would also match with its deciding token missing.
 TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nc-4.0", "CC BY-NC 4.0"),
+    ("cc-by-sa-4.0", "CC BY-SA 4.0"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
+    ("gpl-3", "GNU General Public License, version 3"),
     ("gpl-any", "redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
-    # short declarations; up to six tokens, of which THRESHOLD asks for all
+    # short declarations
     *((label, f"{verb} under the {name} License") for label, name in (("mit", "MIT"), ("bsd", "BSD"), ("isc", "ISC")) for verb in ("Released", "Licensed", "Distributed", "Available")),
     *((label, f"SPDX-License-Identifier: {name}") for label, name in (("mit", "MIT"), ("bsd", "BSD-2-Clause"), ("bsd", "BSD-3-Clause"), ("isc", "ISC"), ("apache-2.0", "Apache-2.0"), ("mpl-2.0", "MPL-2.0"))),
     ("mpl-2.0", "Mozilla Public License 2.0"),

@@ -224,6 +224,17 @@ def test_short_declarations_are_labelled(spark):
     assert all(label in got[k][0] and got[k][1] > 0 for k, label in enumerate(lines.values()))
 
 
+def test_short_templates_need_their_deciding_token(spark):
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa-4.0", "Licensed under CC BY 4.0.": "cc-by", "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+        "Licensed under the Apple License, Version 2.0": "", "This work is licensed under the GNU General Public License, version 2.": "gpl", "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3",
+    }
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in license_scan.license_scan(docs).collect()} == dict(enumerate(lines.values()))
+    sizes = [len(set(license_scan.plain_words(t.encode()))) for _, t in license_scan.TEMPLATES]
+    assert all(n <= 6 or n > 10 for n in sizes)
+
+
 def test_filters_lose_no_match():
     r = random.Random(12)
     vocabulary = [w for _, t in license_scan.TEMPLATES for w in license_scan.plain_words(t.encode())] + [b"filler%d" % k for k in range(30)]
