@@ -10,8 +10,8 @@ search, so a bucket of copies costs about its size.  Buckets above ``MOST_TOGETH
 blocks and every pair of blocks is compared in a task of its own, so no task holds an unbounded group.
 
 Cases: lines without a word are never removed; null and empty texts have no lines and stay; null doc_ids
-come last when the first line is chosen; documents with the same doc_id count as one document for line
-positions; extra columns pass through.
+come last when the first line is chosen; lines are removed by row, so rows that share a doc_id, or have
+none, are each a document; of equal doc_id and line number the first row stays; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import per_batch, slices, small_or_shuffled, spill, text_bytes
+from .runtime import numbered, per_batch, slices, small_or_shuffled, spill, text_bytes
 from .text import mixed
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -93,13 +93,14 @@ def short(h: bytes) -> int:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: digest ``h``, doc_id, line number ``n``."""
+    """A row for each line with a word: digest ``h``, doc_id, line number ``n`` and the ``row`` it stands in (``_row`` of ``docs``, if there)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(digest(ln), i, k) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, ln in _worded(t)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["h", "doc_id", "n"])
+        rows = [(digest(ln), i, k, r) for i, t, r in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, ln in _worded(t)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))], names=["h", "doc_id", "n", "row"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(per_batch(run), "h binary, doc_id long, n long")
+    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), row.alias("row")).mapInArrow(per_batch(run), "h binary, doc_id long, n long, row long")
 
 
 def buckets(docs: DataFrame) -> DataFrame:
@@ -227,9 +228,9 @@ def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(occurrences: h, doc_id, n) and (lines: h, root, copies, first as a struct of no_id, doc_id and n)."""
+    """(occurrences: h, doc_id, n, row) and (lines: h, root, copies, first as a struct of no_id, doc_id, n and row)."""
     seen = spill(occurrences(docs), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "row")
     nodes = spill(seen.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "nodes")
     members = spill(buckets(docs), "buckets")
     roots = components(similar_links(docs, members))
@@ -238,19 +239,20 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """Every line that is not alone in its component: doc_id, line ``n``, the component's first line (kept_doc, kept_line), ``kept``."""
+    """Every line that is not alone in its component: doc_id, line ``n``, the component's first line (kept_doc, kept_line), ``kept``, ``row``."""
     seen, rooted = line_components(docs)
     groups = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("copies").alias("copies")).where("copies > 1")
-    repeated = spill(rooted.select("h", "root").join(groups, "root").select("h", F.col("keeper.doc_id").alias("kept_doc"), F.col("keeper.n").alias("kept_line"), "copies"), "repeated")
-    kept = F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.col("n") == F.col("kept_line"))
-    return seen.join(small_or_shuffled(repeated, 300_000), "h").select("doc_id", "n", "kept_doc", "kept_line", "copies", kept.alias("kept"))
+    repeated = spill(rooted.select("h", "root").join(groups, "root").select("h", F.col("keeper.doc_id").alias("kept_doc"), F.col("keeper.n").alias("kept_line"), F.col("keeper.row").alias("kept_row"), "copies"), "repeated")
+    kept = (F.col("row") == F.col("kept_row")) & (F.col("n") == F.col("kept_line"))
+    return seen.join(small_or_shuffled(repeated, 300_000), "h").select("doc_id", "n", "kept_doc", "kept_line", "copies", kept.alias("kept"), "row")
 
 
 def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """``docs`` without repeated lines; documents that lose every line with a word go, if ``drop_emptied``."""
-    gone = spill(repeated_lines(docs).where("NOT kept").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("n").alias("_gone")), "gone")
-    joined = docs.join(small_or_shuffled(gone, 200_000), docs["doc_id"].eqNullSafe(gone["_id"]), "left")
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
+    docs = numbered(docs, "docs")
+    gone = spill(repeated_lines(docs).where("NOT kept").groupBy(F.col("row").alias("_id")).agg(F.collect_set("n").alias("_gone")), "gone")
+    joined = docs.join(small_or_shuffled(gone, 200_000), docs["_row"] == gone["_id"], "left")
     text = names.index("text")
 
     def run(batches):
@@ -271,7 +273,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
             arrays[text] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    out = joined.select(*(docs[c] for c in names), "_gone").mapInArrow(run, docs.schema)
+    out = joined.select(*(docs[c] for c in names), "_gone").mapInArrow(run, schema)
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(schema["n_chars"].dataType))
     return out

@@ -46,6 +46,11 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table with ``_row``, an id of each row that is written once and so stays as it is, whatever doc_ids are."""
+    return spill(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files behind a spilled table that no later plan reads."""
     spark = df.sparkSession

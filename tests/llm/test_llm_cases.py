@@ -177,6 +177,15 @@ def test_line_dedup(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_lines_go_by_row(spark):
+    a, b, c, d, e = (sentence(k) for k in range(400, 405))
+    rows = [(1, a), (None, b + "\n" + a), (None, c + "\n" + d), (None, None), (7, e + "\n" + a), (7, sentence(405) + "\n" + sentence(406)), (7, None), (8, sentence(407)), (8, sentence(407)), (None, sentence(408)), (None, sentence(408))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in line_dedup.dedup_lines(docs).collect()]
+    expected = [(1, a), (None, b), (None, c + "\n" + d), (None, None), (7, e), (7, rows[5][1]), (7, None), (8, sentence(407)), (None, sentence(408))]
+    assert sorted(got, key=repr) == sorted(expected, key=repr)
+
+
 def test_similar_pairs_with_many_lines():
     base = [sentence(k, 30).encode() for k in range(60)]
     lines = base + [b + b" x" for b in base]
