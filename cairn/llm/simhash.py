@@ -8,7 +8,7 @@ every plan finds the same links.
 
 Cases: null and wordless texts have fingerprint zero and link like others; exact copies share one
 fingerprint and meet only in a grouped row; a component whose doc_ids are all null has a null id; repeated
-rows stay; extra columns are ignored by ``near_duplicates``.
+rows stay in ``near_duplicates``, which ignores extra columns; ``one_of_each`` tells rows apart by an id of their own.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import per_batch, small_or_shuffled, spill, text_bytes
+from .runtime import numbered, per_batch, small_or_shuffled, spill, text_bytes
 
 MOST_BITS = 4
 _CHUNK = 1 << 18
@@ -148,23 +148,32 @@ def links(fps: DataFrame, rows: int | None = None) -> DataFrame:
     return index.repartition(F.col("k")).mapInArrow(linked, "a long, b long").distinct()
 
 
+def rooted(prints: DataFrame, first) -> DataFrame:
+    """_fp, its component's ``root``, and the smallest ``first`` of its rows, for every distinct fingerprint of ``prints``."""
+    distinct = spill(prints.groupBy("_fp").agg(F.min(first).alias("first")), "distinct")
+    roots = components(links(distinct)).withColumnRenamed("node", "_fp")
+    return spill(distinct.join(roots, "_fp", "left").select("_fp", "first", F.coalesce("root", "_fp").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, _fp and component_id (the smallest doc_id reachable over links) of every row of ``docs``."""
     prints = spill(fingerprints(docs.select("doc_id", "text")), "prints")
-    distinct = spill(prints.groupBy("_fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct)).withColumnRenamed("node", "_fp")
-    rooted = spill(distinct.join(roots, "_fp", "left").select("_fp", "first", F.coalesce("root", "_fp").alias("root")), "rooted")
-    ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(ids, "root").select("_fp", "component_id")
+    found = rooted(prints, F.col("doc_id"))
+    ids = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = found.join(ids, "root").select("_fp", "component_id")
     return prints.join(named, "_fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with only the first document of each component: its smallest doc_id.
+    """``docs`` with only the first row of each component: its smallest doc_id, null ids last, and of equal ones the first row.
 
-    Repeated rows of one doc_id are one document; rows without a doc_id stay.  Only fingerprints and ids are grouped; the
-    documents are read again and joined with the ids that go.
+    Rows are told apart by an id of their own, not by doc_id.  Only fingerprints and ids are grouped; the documents are
+    read again and joined with the ids that go.
     """
-    found = near_duplicates(docs)
-    gone = spill(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small_or_shuffled(gone), docs["doc_id"] == gone["_gone"], "left_anti")
+    names, docs = docs.columns, numbered(docs, "docs")
+    prints = spill(fingerprints(docs.select("_row", "doc_id", "text")), "prints")
+    found = rooted(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
+    kept = found.groupBy("root").agg(F.min("first")["_row"].alias("_kept"))
+    named = found.join(kept, "root").select("_fp", "_kept")
+    gone = spill(prints.join(named, "_fp").where("_row <> _kept").select(F.col("_row").alias("_gone")), "gone")
+    return docs.join(small_or_shuffled(gone), docs["_row"] == gone["_gone"], "left_anti").select(*names)

@@ -131,6 +131,14 @@ def test_simhash(odd, none):
     assert kept.columns == odd.columns and kept.where("doc_id IN (1, 2, 3)").count() == 1
 
 
+def test_one_of_each_goes_by_row(spark):
+    a, b, c, d = (sentence(k, 60) for k in range(500, 504))
+    rows = [(None, a), (None, a), (5, b), (5, b), (6, c), (7, c), (7, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (5, b), (6, c), (7, d)], key=repr)
+
+
 @pytest.mark.parametrize("plan", [(3, 1), (5, 2), (6, 3)])
 def test_every_plan_finds_all_links(spark, plan, monkeypatch):
     r = np.random.default_rng(8)
