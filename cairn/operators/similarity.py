@@ -63,7 +63,7 @@ def order(v: np.ndarray, weights: np.ndarray, most_distance: int = 128, most_siz
 
 
 def similarity_order(files: DataFrame, group: str, key: str, words: str, size: str) -> DataFrame:
-    """(group, key, position): similarity order inside each group of bounded size; equal vectors follow each other by falling size."""
+    """(group, key, position): similarity order inside each group, which is one task as the order depends on all of it; equal vectors follow each other by falling size."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(_w=[tuple(w) for w in rows[words]]).sort_values([size, key], ascending=[False, True])

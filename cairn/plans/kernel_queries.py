@@ -110,8 +110,8 @@ def h11(spark, d):
 
 @query("p06_similarity_order")
 def p06(spark, d):
-    files = _bytes(spark, d).where("size > 0").select("ino", "size", "lang", F.floor(F.col("ino") / 4096).alias("shard"), kernels.nilsimsa_words("content").alias("words"))
-    return similarity.similarity_order(files.withColumn("part", F.concat_ws("/", "lang", "shard")), "part", "ino", "words", "size")
+    files = _bytes(spark, d).where("size > 0").select("ino", "size", F.coalesce("lang", F.lit("")).alias("part"), kernels.nilsimsa_words("content").alias("words"))
+    return similarity.similarity_order(files, "part", "ino", "words", "size")
 
 
 @query("c01_incompressible")

@@ -75,8 +75,7 @@ def p07(spark, d):
         order = similarity.greedy(rows["bits"].to_numpy(np.int64).view(np.uint64)[:, None])
         return pd.DataFrame({"label": rows["label"].iloc[0], "vec_id": rows["vec_id"].to_numpy()[order], "position": range(len(rows))})
 
-    v = vectors(spark, d)
-    return v.withColumn("_shard", F.floor(F.col("vec_id") / 4096)).groupBy("label", "_shard").applyInPandas(run, "label int, vec_id long, position long")
+    return vectors(spark, d).groupBy("label").applyInPandas(run, "label int, vec_id long, position long")
 
 
 @query("v17_option_string", "SELECT p_partkey, 'size' AS key, CAST(p_size AS VARCHAR) AS value FROM part UNION ALL SELECT p_partkey, p_type, NULL FROM part")

@@ -66,6 +66,17 @@ def test_merge_positions_with_limited_slots():
     assert merging.merge_positions({}, 2) == []
 
 
+def test_similarity_orders_are_one_a_category(spark, tmp_path):
+    from cairn.plans import kernel_queries, more_queries
+
+    texts = {1: "the quick brown fox jumps over the lazy dog " * 9, 2: "0123456789 lorem ipsum dolor sit amet " * 5, 9000: "the quick brown fox jumps over the lazy dog " * 8}
+    spark.createDataFrame([(k, t, "en", "web", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["position"], r["ino"]) for r in kernel_queries.p06(spark, str(tmp_path)).collect())
+    assert [p for p, _ in got] == [0, 1, 2] and got[1][1] != 2
+    spark.createDataFrame([(1, [1.0] * 64, 0), (2, [-1.0] * 64, 0), (9000, [1.0] * 60 + [-1.0] * 4, 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted((r["position"], r["vec_id"]) for r in more_queries.p07(spark, str(tmp_path)).collect()) == [(0, 1), (1, 9000), (2, 2)]
+
+
 def test_similarity_order_is_a_permutation():
     import numpy as np
 
