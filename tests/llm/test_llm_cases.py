@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties and repeated rows, empty tables, extra columns."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -220,6 +221,12 @@ def test_language_id(odd, none):
     assert {r["lang_pred"] for r in language_id.language_id(odd.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_more_than_two_hundred_languages(spark):
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5][:205]
+    docs = spark.createDataFrame([(k, sentence(k, 5), f"x{n:03}") for n, k in enumerate(ids)], "doc_id long, text string, lang string")
+    assert language_id.fit(docs).langs == [f"x{n:03}" for n in range(205)]
+
+
 def test_license_scan(spark, none):
     docs = spark.createDataFrame(
         [(1, "cc by cc by, CC-BY!"), (2, None), (3, "x " * 100 + "Licensed under the\nApache License, Version 2.0 (the" + " y" * 100), (4, "all rights reserved General Public License"), (4, "Licensed under some other terms")], "doc_id long, text string"
