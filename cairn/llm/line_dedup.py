@@ -9,9 +9,11 @@ What a bucket holds is compared by search, not pair by pair: a line that is foun
 search, so a bucket of copies costs about its size.  Buckets above ``MOST_TOGETHER`` lines are cut into
 blocks and every pair of blocks is compared in a task of its own, so no task holds an unbounded group.
 
-Cases: lines without a word are never removed; null and empty texts have no lines and stay; null doc_ids
-come last when the first line is chosen; lines are removed by row, so rows that share a doc_id, or have
-none, are each a document; of equal doc_id and line number the first row stays; extra columns pass through.
+Cases: lines without a word are never removed; null and empty texts have no lines and stay; very long texts
+are indexed in slices, and a very long line is one line like any other; an empty table has no repeated lines;
+null doc_ids come last when the first line is chosen; lines are removed by row, so rows that share a doc_id,
+or have none, are each a document; of equal doc_id and line number (ties) the first row stays; doc_id may
+have any type; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,19 +27,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import numbered, per_batch, slices, small_or_shuffled, spill, text_bytes
+from .runtime import forget, fresh, numbered, per_batch, slices, small_or_shuffled, spill, text_bytes
 from .text import mixed
 
 SHINGLE, SIMILAR = 5, 0.8
-#: P(no common band) at a similarity of 0.8 is (1 - 0.8**6)**21 = 0.2 %, at 0.9 1e-7.  Short shingles are shared by
-#: chance, so a band has many rows: lines alike by chance seldom meet, and the index and the candidates stay small.
-BANDS, ROWS = 21, 6
-MOST_TOGETHER = 4_000
-_SCALE = np.random.default_rng(6).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_SHIFT = np.random.default_rng(66).integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+#: Short shingles are shared by chance, so a band has many rows: lines alike by chance seldom meet, and the index and
+#: the candidates stay small.  A band takes ``ROWS`` of the ``VALUES`` MinHash values; each value serves one or two bands.
+#: P(no common band), by simulation, is 0.2 % at a similarity of 0.8, and under 0.01 % at 0.85.
+VALUES, BANDS, ROWS = 84, 24, 6
+MOST_TOGETHER = 1_000
+#: Index entries (a band key and a line) of a shuffled block, and of a task's table.
+_BLOCK, _TASK = 1 << 20, 1 << 22
+_SCALE = np.random.default_rng(6).integers(1, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_SHIFT = np.random.default_rng(66).integers(1, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
 _FOLD = np.random.default_rng(666).integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
 
 
+def _chosen() -> np.ndarray:
+    """The values of each band: successive shuffles of all values, so that they serve about equally often."""
+    rng = np.random.default_rng(6666)
+    return np.concatenate([rng.permutation(VALUES) for _ in range(-(-BANDS * ROWS // VALUES))])[: BANDS * ROWS].reshape(BANDS, ROWS)
+
+
+_CHOSEN = _chosen()
+
+
 def digest(line: bytes) -> bytes:
     return blake2b(line, digest_size=16).digest()
 
@@ -64,22 +78,25 @@ def shingle_hashes(lines: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray,
 
 
 def signatures(lines: list[bytes]) -> np.ndarray:
-    """MinHash values of each line, ``BANDS * ROWS`` columns."""
-    out = np.empty((len(lines), BANDS * ROWS), np.uint32)
-    for a, b in slices(lines, 1 << 18):
+    """MinHash values of each line, ``VALUES`` columns."""
+    out = np.empty((len(lines), VALUES), np.uint32)
+    for a, b in slices(lines, 1 << 15):  # the hashes of a slice stay in a core's own cache
         hashes, starts = shingle_hashes(lines[a:b])
         h = (hashes >> np.uint64(32)).astype(np.uint32)
-        for k in range(BANDS * ROWS):
-            out[a:b, k] = np.minimum.reduceat((h ^ _SHIFT[k]) * _SCALE[k], starts)
+        turned = np.empty_like(h)
+        for k in range(VALUES):
+            np.bitwise_xor(h, _SHIFT[k], out=turned)
+            np.multiply(turned, _SCALE[k], out=turned)
+            out[a:b, k] = np.minimum.reduceat(turned, starts)
     return out
 
 
 def band_keys(lines: list[bytes]) -> np.ndarray:
     """One 64-bit key for each line and band."""
-    values = signatures(lines).reshape(len(lines), BANDS, ROWS)
+    values = signatures(lines)
     key = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (len(lines), 1))
     for row in range(ROWS):
-        key = mixed(key * _FOLD[row] + values[:, :, row])
+        key = mixed(key * _FOLD[row] + values[:, _CHOSEN[:, row]])
     return key.view(np.int64)
 
 
@@ -93,48 +110,66 @@ def short(h: bytes) -> int:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: digest ``h``, doc_id, line number ``n`` and the ``row`` it stands in (``_row`` of ``docs``, if there)."""
+    """A row for each line with a word: digest ``h``, doc_id, line number ``n`` and the ``row`` it stands in (column ``row`` of ``docs``, if there)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(digest(ln), i, k, r) for i, t, r in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, ln in _worded(t)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2, 3))], names=["h", "doc_id", "n", "row"])
+        rows = [(at, digest(ln), k) for at, t in enumerate(batch.column(1).to_pylist()) for k, ln in _worded(t)]
+        at = pa.array([r[0] for r in rows], pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.binary()), batch.column(0).take(at), pa.array([r[2] for r in rows], pa.int64()), batch.column(2).take(at)], names=["h", "doc_id", "n", "row"])
 
-    row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text"), row.alias("row")).mapInArrow(per_batch(run), "h binary, doc_id long, n long, row long")
+    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", text_bytes().alias("text"), row.alias("row")).mapInArrow(per_batch(run), f"h binary, doc_id {kind}, n long, row long")
 
 
-def buckets(docs: DataFrame) -> DataFrame:
-    """(bucket, part, s): the short digests of every band key that several lines share.
+def buckets(docs: DataFrame, lines: int) -> DataFrame:
+    """(bucket, part, s): the short digests of every band key that several of the ``lines`` distinct lines share.
 
-    A task indexes a line once; the same set of lines under several keys is one bucket; a large bucket is
-    repeated for pairs of its blocks.
+    A task indexes a line once.  Index entries travel in blocks, one for each part of the key space, and the parts
+    grow with the number of lines, so a task's table has about ``_TASK`` entries.  The same set of lines under
+    several keys is one bucket; a large bucket is repeated for pairs of its blocks.
     """
+    spark = docs.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines * BANDS // _TASK))
+    parts = 4 * tasks
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts, 1 << 21):
                 if len(met) > 200_000:
                     met.clear()
-                fresh = {}
+                new = {}
                 for line in {ln for t in texts[a:b] for _, ln in _worded(t)}:
                     if (s := short(digest(line))) not in met:
-                        fresh[line] = s
-                met.update(fresh.values())
-                if fresh:
-                    keys = band_keys(list(fresh))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(np.fromiter(fresh.values(), np.int64, len(fresh)), BANDS))], names=["k", "s"])
-
-    def shared(batches):
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        keys, ids = (np.concatenate([b.column(c).to_numpy() for b in got]) for c in (0, 1))
+                        new[line] = s
+                met.update(new.values())
+                if new:
+                    held.append((band_keys(list(new)).ravel(), np.repeat(np.fromiter(new.values(), np.int64, len(new)), BANDS)))
+                if sum(len(k) for k, _ in held) > _BLOCK:
+                    yield dealt(held)
+                    held = []
+        if held:
+            yield dealt(held)
+
+    def dealt(held) -> pa.RecordBatch:
+        keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = (keys.view(np.uint64) >> np.uint64(20)) % np.uint64(parts)
+        part = part.astype(np.uint16 if parts < 1 << 16 else np.uint32)
+        order = np.argsort(part, kind="stable")
+        part, both = part[order], np.stack([keys[order], ids[order]], axis=1)
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        offsets = pa.py_buffer(np.append(starts, len(part)).astype(np.int64) * 16)
+        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.Array.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(both)]).cast(pa.binary())], names=["p", "entries"])
+
+    def shared(entries: list[bytes]):
+        keys, ids = np.frombuffer(b"".join(entries), np.int64).reshape(-1, 2).T
         order = np.lexsort((ids, keys))
         keys, ids = keys[order], ids[order]
-        fresh = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
-        keys, ids = keys[fresh], ids[fresh]
+        new = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
+        keys, ids = keys[new], ids[new]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         sizes = np.diff(np.append(starts, len(keys)))
         for at, n in zip(starts[sizes > 1], sizes[sizes > 1], strict=True):
@@ -142,14 +177,21 @@ def buckets(docs: DataFrame) -> DataFrame:
             yield int.from_bytes(blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True), members
 
     def emitted(batches):
-        out: list[tuple[int, int, np.ndarray]] = []
-        for name, members in shared(batches):
-            blocks = [members[i : i + MOST_TOGETHER] for i in range(0, len(members), MOST_TOGETHER)]
-            pairs = [(i, j) for i in range(len(blocks)) for j in range(i, len(blocks)) if j > i or len(blocks) == 1]
-            out += [(name, part, blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]])) for part, (i, j) in enumerate(pairs)]
-            if len(out) > 10_000:
-                yield rows(out)
-                out = []
+        got: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for p, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got.setdefault(p, []).append(entries)
+        out, size = [], 0
+        while got:
+            for name, members in shared(got.popitem()[1]):
+                blocks = [members[i : i + MOST_TOGETHER] for i in range(0, len(members), MOST_TOGETHER)]
+                pairs = ((i, j) for i in range(len(blocks)) for j in range(i, len(blocks)) if j > i or len(blocks) == 1)
+                for part, (i, j) in enumerate(pairs):
+                    out.append((name, part, blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]])))
+                    size += len(out[-1][2])
+                    if size > 50_000:
+                        yield rows(out)
+                        out, size = [], 0
         if out:
             yield rows(out)
 
@@ -157,8 +199,8 @@ def buckets(docs: DataFrame) -> DataFrame:
         sizes = [len(r[2]) for r in out]
         return pa.RecordBatch.from_arrays([pa.array(np.repeat([r[0] for r in out], sizes)), pa.array(np.repeat([r[1] for r in out], sizes)), pa.array(np.concatenate([r[2] for r in out]))], names=["bucket", "part", "s"])
 
-    index = docs.select(text_bytes().alias("text")).mapInArrow(indexed, "k long, s long")
-    return index.repartition(F.col("k")).mapInArrow(emitted, "bucket long, part long, s long").distinct()
+    index = docs.select(text_bytes().alias("text")).mapInArrow(indexed, "p int, entries binary")
+    return index.repartition(tasks, F.col("p")).mapInArrow(emitted, "bucket long, part long, s long").distinct()
 
 
 def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
@@ -172,26 +214,35 @@ def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
 def similar_pairs(lines: list[bytes], least: float = SIMILAR, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Pairs of line numbers that connect all lines whose shingle sets have a Jaccard similarity of ``least``.
 
-    Many lines are first compared by signature: of a pair at ``least``, one in a million or so would have
-    under ``least - 0.3`` of its values in common.
+    Each line that the search reaches is compared with all that are left and near enough in size, exactly: few by
+    merging sorted sets, many by one pass over their shingles.
     """
     sets = shingle_sets(lines) if sets is None else sets
     sizes = np.array([len(s) for s in sets])
-    values = signatures(lines) if len(lines) > 32 else None
     left, found = np.argsort(sizes, kind="stable"), []
+    many = len(lines) > 8
+    if many:
+        flat = np.unique(np.concatenate([sets[k] for k in left]), return_inverse=True)[1]
+        mark = np.zeros(flat.max(initial=0) + 1, bool)
+        ends = np.cumsum(sizes[left])
+        spans = {k: flat[e - sizes[k] : e] for k, e in zip(left.tolist(), ends.tolist(), strict=True)}
     while len(left) > 1:
         frontier, left = [left[0]], left[1:]
         while frontier and len(left):
             f = frontier.pop()
-            near = (sizes[left] >= least * sizes[f] - 1e-9) & (least * sizes[left] <= sizes[f] + 1e-9)
-            if values is not None:
-                near[near] = (values[left[near]] == values[f]).mean(axis=1) >= least - 0.3
+            low, high = np.searchsorted(sizes[left], [least * sizes[f] - 1e-9, sizes[f] / least + 1e-9])
+            near = left[low:high]
+            if not len(near):
+                continue
+            if many:
+                mark[spans[int(f)]] = True
+                starts = np.cumsum(sizes[near]) - sizes[near]
+                common = np.add.reduceat(mark[np.concatenate([spans[int(k)] for k in near])], starts, dtype=np.int64)
+                mark[spans[int(f)]] = False
+            else:
+                common = np.array([len(np.intersect1d(sets[f], sets[k], assume_unique=True)) for k in near])
             hit = np.zeros(len(left), bool)
-            for k in np.flatnonzero(near):
-                other = sets[left[k]]
-                at = np.minimum(np.searchsorted(other, sets[f]), len(other) - 1)
-                common = np.count_nonzero(other[at] == sets[f])
-                hit[k] = common >= least * (sizes[f] + len(other) - common) - 1e-9
+            hit[low:high] = common >= least * (sizes[f] + sizes[near] - common) - 1e-9
             found += [(int(f), int(x)) for x in left[hit]]
             frontier += list(left[hit])
             left = left[~hit]
@@ -224,7 +275,8 @@ def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
     joined = members.join(texts, "s").select("bucket", "part", "h", "line")
-    return joined.repartition("bucket", "part").mapInArrow(verified, "a binary, b binary")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // 20_000)
+    return joined.repartition(tasks, "bucket", "part").mapInArrow(verified, "a binary, b binary")
 
 
 def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,8 +284,9 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     seen = spill(occurrences(docs), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "row")
     nodes = spill(seen.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "nodes")
-    members = spill(buckets(docs), "buckets")
+    members = spill(buckets(docs, nodes.count()), "buckets")
     roots = components(similar_links(docs, members))
+    forget(members)
     rooted = nodes.join(roots, nodes["h"] == roots["node"], "left").select("h", F.coalesce("root", "h").alias("root"), "first", "copies")
     return seen, spill(rooted, "rooted")
 
@@ -250,9 +303,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     """``docs`` without repeated lines; documents that lose every line with a word go, if ``drop_emptied``."""
     names, schema = docs.columns, docs.schema
-    docs = numbered(docs, "docs")
-    gone = spill(repeated_lines(docs).where("NOT kept").groupBy(F.col("row").alias("_id")).agg(F.collect_set("n").alias("_gone")), "gone")
-    joined = docs.join(small_or_shuffled(gone, 200_000), docs["_row"] == gone["_id"], "left")
+    row, lost = fresh(names, "row"), fresh(names, "lost")
+    docs = numbered(docs, "docs", row)
+    found = repeated_lines(docs.select("doc_id", "text", F.col(row).alias("row")))
+    gone = spill(found.where("NOT kept").groupBy("row").agg(F.collect_set("n").alias("lost")), "gone")
+    gone = small_or_shuffled(gone.toDF(row, lost), 200_000)
+    joined = docs.join(gone, row, "left").select(*names, lost)
     text = names.index("text")
 
     def run(batches):
@@ -273,7 +329,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
             arrays[text] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    out = joined.select(*(docs[c] for c in names), "_gone").mapInArrow(run, schema)
+    out = joined.mapInArrow(run, schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(schema["n_chars"].dataType))
     return out

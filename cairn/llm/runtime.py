@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where all run in one process and the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="cairn-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -46,9 +48,17 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table with ``_row``, an id of each row that is written once and so stays as it is, whatever doc_ids are."""
-    return spill(df.withColumn("_row", F.monotonically_increasing_id()), name)
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as no column has; Spark's names know no case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame, name: str, row: str) -> DataFrame:
+    """``df`` as a table with ``row``, an id of each row that is written once and so stays as it is, whatever doc_ids are."""
+    return spill(df.withColumn(row, F.monotonically_increasing_id()), name)
 
 
 def forget(df: DataFrame) -> None:

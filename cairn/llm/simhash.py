@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import numbered, per_batch, small_or_shuffled, spill, text_bytes
+from .runtime import fresh, numbered, per_batch, small_or_shuffled, spill, text_bytes
 
 MOST_BITS = 4
 _CHUNK = 1 << 18
@@ -170,10 +170,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows are told apart by an id of their own, not by doc_id.  Only fingerprints and ids are grouped; the documents are
     read again and joined with the ids that go.
     """
-    names, docs = docs.columns, numbered(docs, "docs")
-    prints = spill(fingerprints(docs.select("_row", "doc_id", "text")), "prints")
-    found = rooted(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
-    kept = found.groupBy("root").agg(F.min("first")["_row"].alias("_kept"))
-    named = found.join(kept, "root").select("_fp", "_kept")
-    gone = spill(prints.join(named, "_fp").where("_row <> _kept").select(F.col("_row").alias("_gone")), "gone")
-    return docs.join(small_or_shuffled(gone), docs["_row"] == gone["_gone"], "left_anti").select(*names)
+    names = docs.columns
+    row = fresh(names, "row")
+    docs = numbered(docs, "docs", row)
+    prints = spill(fingerprints(docs.select("doc_id", "text", F.col(row).alias("row"))), "prints")
+    found = rooted(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    kept = found.groupBy("root").agg(F.min("first")["row"].alias("kept"))
+    named = found.join(kept, "root").select("_fp", "kept")
+    gone = spill(prints.join(named, "_fp").where("row <> kept").select(F.col("row").alias(row)), "gone")
+    return docs.join(small_or_shuffled(gone), row, "left_anti").select(*names)
