@@ -214,13 +214,13 @@ def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
 def similar_pairs(lines: list[bytes], least: float = SIMILAR, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Pairs of line numbers that connect all lines whose shingle sets have a Jaccard similarity of ``least``.
 
-    Each line that the search reaches is compared with all that are left and near enough in size, exactly: few by
-    merging sorted sets, many by one pass over their shingles.
+    Each line that the search reaches is compared with all that are left and near enough in size, exactly, in one pass
+    over their shingles: looked up in the line's sorted set, or, among many lines, by numbers given to the shingles once.
     """
     sets = shingle_sets(lines) if sets is None else sets
     sizes = np.array([len(s) for s in sets])
     left, found = np.argsort(sizes, kind="stable"), []
-    many = len(lines) > 8
+    many = len(lines) > 64
     if many:
         flat = np.unique(np.concatenate([sets[k] for k in left]), return_inverse=True)[1]
         mark = np.zeros(flat.max(initial=0) + 1, bool)
@@ -236,11 +236,12 @@ def similar_pairs(lines: list[bytes], least: float = SIMILAR, sets: list[np.ndar
                 continue
             if many:
                 mark[spans[int(f)]] = True
-                starts = np.cumsum(sizes[near]) - sizes[near]
-                common = np.add.reduceat(mark[np.concatenate([spans[int(k)] for k in near])], starts, dtype=np.int64)
+                same = mark[np.concatenate([spans[int(k)] for k in near])]
                 mark[spans[int(f)]] = False
             else:
-                common = np.array([len(np.intersect1d(sets[f], sets[k], assume_unique=True)) for k in near])
+                own, others = sets[f], np.concatenate([sets[k] for k in near])
+                same = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+            common = np.add.reduceat(same, np.cumsum(sizes[near]) - sizes[near], dtype=np.int64)
             hit = np.zeros(len(left), bool)
             hit[low:high] = common >= least * (sizes[f] + sizes[near] - common) - 1e-9
             found += [(int(f), int(x)) for x in left[hit]]

@@ -1,29 +1,31 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-Training counts every token of every training text.  The most frequent ``MODELLED`` words are spread over
-``HEAD`` classes, all others over ``TAIL`` classes by the hash of their last two bytes.  The model is
-P(class | context) * P(word | class, context):
-
-* the class softmax sums weight rows of hashed features: the word before, the word two before (skip) and the
-  pair of both (n-gram).  It is fitted by distributed gradient
-  updates: each task passes once over its texts from common starting weights, and the tasks' rows are
-  averaged by the number of updates each has had;
-* a modelled word's softmax within its class has its own weight and one for the class of the word before;
-  its gradient needs only counts, so it is fitted on the counts of the whole corpus;
-* within a tail class a word has its add-one share, exact, which also leaves room for unseen words.
-
-Counts of the ``KNOWN`` most frequent words travel as a broadcast of fixed size; rarer words meet their
-counts in a join by word.
-
-Cases: null and empty texts are the end token alone; repeated rows are each counted and scored; rows with a
-null doc_id are held out of nothing (they train); extra columns are ignored; with no training text every
-score is that of unseen tokens.
+Training counts every token of every training text.  The most frequent words are leaves of a tree of three
+levels of classes, all others fall into tail leaves by the hash of their last two bytes.  The model is
+P(class | context) * P(subclass | class, context) * P(leaf | subclass, context), and every level is a softmax
+over summed weight rows of the same hashed features, joined with the node above: the word before, the word
+two before (skip) and the pair of both (n-gram).  Within a tail leaf a word has its add-one share, exact,
+which also leaves room for unseen words.
+
+Training is synchronous: texts are dealt to folds by a hash of the row, each round sums observed and expected
+counts of one fold at common weights over all tasks, and one damped diagonal Newton step follows.  The sums are
+of whole numbers, so neither partitions nor the order of tasks change the model.
+
+What the model learns grows with the text: leaves, and hash rows of each feature and level, are
+``8 * tokens ** 0.4``, rounded to a power of two (4,096 at least).  Counts of ``KNOWN`` words at least travel as a
+broadcast; rarer words meet their counts in a join by word.
+
+Cases: null and empty texts are the end token alone; very long texts are read in pieces; repeated rows are each
+counted and scored; rows with a null doc_id are held out of nothing (they train); doc_id may have any type; extra
+columns are ignored, whatever their names; words of equal count (ties) are taken in byte order; an empty table
+has no scores; with no training text every score is that of unseen tokens.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,20 +35,32 @@ from pyspark.sql import functions as F
 
 from .runtime import residue, spill, text_bytes
 
-MODELLED, HEAD, TAIL, KNOWN = 4096, 26, 6, 1 << 17
-CLASSES = HEAD + TAIL
-#: Weight rows of each feature: the words one and two back, and the pair of them.
-ROWS = (1 << 12, 1 << 12, 1 << 13)
+KNOWN = 1 << 17
+LEAST_LEAVES, GROWTH, LEVELS = 1 << 12, 0.4, 3
+#: One leaf in ``TAILS`` is of rare words.
+TAILS = 16
+#: Each training text is in one of the folds, and each fold is one round.
+FOLDS = 12
+#: Of a step: its first rate and how fast it falls, the pull to zero, the damping, and the most that a weight moves.
+RATE, FALL, PULL, DAMP, MOST = 0.8, 0.3, 0.2, 4.0, 2.0
+#: Expected counts are summed in these units.
+_UNIT = 1 << 12
+_STEP, _BLOCK = 1 << 14, 1 << 12
 END = b"\n"  # no word holds a line end
-_STEP, _RATE = 1024, 0.15
 
 
 def words_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def tail_class(word: bytes) -> int:
-    return HEAD + zlib.crc32(word[-2:]) % TAIL
+def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """The text in pieces of about ``most`` bytes, cut between words."""
+    start = 0
+    while len(text) - start > most:
+        end = min((k for k in (text.find(c, start + most) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if k >= 0), default=len(text))
+        yield text[start:end]
+        start = end
+    yield text[start:]
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -56,10 +70,12 @@ def word_counts(texts: DataFrame) -> DataFrame:
         counts: Counter = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                counts.update(words_of(t))
-            if len(counts) > 400_000:
-                yield from flushed(counts)
-                counts = Counter()
+                for piece in pieces(t):
+                    counts.update(piece.lower().split())
+                counts[END] += 1
+                if len(counts) > 400_000:
+                    yield from flushed(counts)
+                    counts = Counter()
         yield from flushed(counts)
 
     def flushed(counts):
@@ -70,6 +86,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def leaves_for(tokens: int) -> int:
+    return max(LEAST_LEAVES, 1 << round(np.log2(8 * max(tokens, 1) ** GROWTH)))
+
+
 class Known(dict):
     """Word to number; -1 for any other word, which is not remembered."""
 
@@ -79,235 +99,266 @@ class Known(dict):
 
 @dataclass
 class Vocabulary:
-    """Known words with their number and class; the first ``modelled`` numbers are modelled words, in class order."""
+    """The most frequent words by number, those below ``leaves - tails`` being leaves of their own, and sums of the counts."""
 
     number: Known
-    klass: np.ndarray  # class of each known number
     count: np.ndarray  # log10(count + 1) of each known number
-    starts: np.ndarray  # first modelled number of each head class, and the end
-    tail_size: np.ndarray  # log10(tokens + words + 1) of each tail class
-    prior: np.ndarray  # log of the classes' shares
+    tail_size: np.ndarray  # log10(tokens + words + 1) of each tail leaf
+    leaf_count: np.ndarray  # tokens of each leaf
+    leaves: int
     total: int
     distinct: int
 
+    @property
+    def modelled(self) -> int:
+        return self.leaves - self.leaves // TAILS
+
+    def tail(self, word: bytes) -> int:
+        return zlib.crc32(word[-2:]) % (self.leaves // TAILS)
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """What the model keeps of the counts: bounded tables of the most frequent words, and sums."""
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    words, n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    """What the model keeps of the counts: tables of the most frequent words, and sums."""
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = int(sums[0] or 0), int(sums[1])
-    modelled = min(MODELLED, len(words))
-    share = np.cumsum(n[:modelled] ** 0.5)
-    head = np.minimum((share / max(share[-1] if modelled else 1, 1) * HEAD - 1e-9).astype(int), HEAD - 1)
-    klass = np.concatenate([head, [tail_class(w) for w in words[modelled:]]]).astype(np.int16)
+    leaves = leaves_for(total)
+    tails = leaves // TAILS
+    top = counts.orderBy(F.desc("n"), "word").limit(max(KNOWN, leaves)).collect()
+    words, n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    modelled = min(leaves - tails, len(words))
     last = F.expr("substring(word, greatest(octet_length(word) - 1, 1), 2)")
-    tails = counts.groupBy((F.crc32(last) % TAIL).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
-    size, kinds = np.zeros(TAIL), np.zeros(TAIL)
-    for r in tails:
+    size, kinds = np.zeros(tails), np.zeros(tails)
+    for r in counts.groupBy((F.crc32(last) % tails).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         size[r["k"]], kinds[r["k"]] = r["n"], r["words"]
-    for w, c in zip(words[:modelled], n[:modelled], strict=True):  # modelled words are in no tail class
-        k = tail_class(w) - HEAD
+    for w, c in zip(words[:modelled], n[:modelled], strict=True):  # words with a leaf of their own are in no tail
+        k = zlib.crc32(w[-2:]) % tails
         size[k] -= c
         kinds[k] -= 1
-    mass = np.concatenate([np.bincount(head, n[:modelled], HEAD), size]) + 1.0
-    return Vocabulary(
-        Known((w, k) for k, w in enumerate(words)), klass, np.log10(n + 1.0), np.searchsorted(head, np.arange(HEAD + 1)), np.log10(size + kinds + 1), np.log(mass / mass.sum()), total, distinct
-    )
-
-
-class Encoded:
-    """Some texts as arrays: word numbers (-1: not known), classes, and hashed feature rows of every token."""
-
-    def __init__(self, texts: list[bytes], v: Vocabulary):
-        split = [words_of(t) for t in texts]
-        self.lengths = np.array([len(w) for w in split], np.int64)
-        flat = [w for words in split for w in words]
-        self.number = np.fromiter(map(v.number.__getitem__, flat), np.int64, len(flat))
-        self.unknown = {i: flat[i] for i in np.flatnonzero(self.number < 0)}
-        self.klass = v.klass[self.number].astype(np.int64) if len(v.klass) else np.zeros(len(flat), np.int64)
-        for i, w in self.unknown.items():
-            self.klass[i] = tail_class(w)
-        # a context sees modelled words as themselves, others as their class, and starts of texts as zero
-        self.tag = np.where((self.number >= 0) & (self.number < MODELLED), self.number + 1 + CLASSES, self.klass + 1)
-        self.owner = np.repeat(np.arange(len(texts)), self.lengths)
-        position = np.arange(len(flat)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
-        back = [np.where(position >= k, np.concatenate([np.zeros(k, np.int64), self.tag[:-k]])[: len(flat)], 0) for k in (1, 2)]
-        self.before = np.where(position >= 1, np.concatenate([[0], self.klass[:-1] + 1]), 0) if len(flat) else self.tag
-        base = np.cumsum((0, *ROWS))
-        mixes = [back[0], back[1] + 7_919, back[0] * 8_191 + back[1]]
-        self.rows = np.stack([base[k] + ((m.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - ROWS[k].bit_length())).astype(np.int64) for k, m in enumerate(mixes)], axis=1)
-
-
-def log_classes(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Log probabilities of all classes in each context."""
-    z = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        z = z + weights[rows[:, k]]
-    z += weights[-1]
+    leaf_count = np.zeros(leaves)
+    leaf_count[:modelled] = n[:modelled]
+    leaf_count[leaves - tails :] = size
+    return Vocabulary(Known((w, k) for k, w in enumerate(words)), np.log10(n + 1.0), np.log10(size + kinds + 1), leaf_count, leaves, total, distinct)
+
+
+class Tree:
+    """The levels of classes over the leaves, and where the weights of each level lie in one flat array.
+
+    A level has ``rows`` hashed rows for each of three features and a row for each node; a row has a weight for each child.
+    """
+
+    def __init__(self, leaves: int):
+        bits = leaves.bit_length() - 1
+        self.leaves, self.rows = leaves, leaves
+        self.bits = [(bits + LEVELS - 1 - k) // LEVELS for k in range(LEVELS)]
+        self.shifts = [sum(self.bits[k + 1 :]) for k in range(LEVELS)]
+        self.nodes = [1 << sum(self.bits[:k]) for k in range(LEVELS)]
+        self.sizes = [(3 * self.rows + n) << b for n, b in zip(self.nodes, self.bits, strict=True)]
+        self.starts = np.append(0, np.cumsum(self.sizes))
+
+    def start(self, leaf_count: np.ndarray) -> np.ndarray:
+        """Weights that give each child its share of its node's tokens, whatever the context."""
+        out = np.zeros(self.starts[-1], np.float32)
+        for k, b in enumerate(self.bits):
+            n = leaf_count.reshape(self.nodes[k], 1 << b, -1).sum(axis=2) + 0.5
+            out[self.starts[k + 1] - n.size : self.starts[k + 1]] = np.log(n / n.sum(axis=1, keepdims=True)).ravel()
+        return out
+
+    def contexts(self, leaf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A 64-bit value of each token's three features: texts of ``lengths`` tokens stand one after another in ``leaf``."""
+        place = np.arange(len(leaf)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        tag = leaf.astype(np.uint64) + np.uint64(1)  # zero stands for the start of a text
+        one, two = (np.where(place >= k, np.concatenate([np.zeros(k, np.uint64), tag])[: len(leaf)], np.uint64(0)) for k in (1, 2))
+        out = np.stack([one, two + np.uint64(1 << 40), (one << np.uint64(20)) * np.uint64(0x9E3779B97F4A7C15) + two + np.uint64(1 << 41)])
+        return out * np.uint64(0xC2B2AE3D27D4EB4F)
+
+    def level(self, k: int, leaf: np.ndarray, contexts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """At level ``k``: the four rows of each token, and which child its leaf lies in."""
+        above = leaf >> (self.shifts[k] + self.bits[k])
+        node = (above.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        shift = np.uint64(65 - self.rows.bit_length())
+        rows = []
+        for f in range(3):
+            h = contexts[f] ^ node
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
+            rows.append((h >> shift).astype(np.int64) + f * self.rows)
+        rows.append(above.astype(np.int64) + 3 * self.rows)
+        return rows, (leaf >> self.shifts[k]) & ((1 << self.bits[k]) - 1)
+
+    def table(self, k: int, flat: np.ndarray) -> np.ndarray:
+        return flat[self.starts[k] : self.starts[k + 1]].reshape(-1, 1 << self.bits[k])
+
+
+def log_shares(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    """Log probabilities of all children in each context."""
+    z = weights[rows[0]]
+    for r in rows[1:]:
+        z += weights[r]
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-def train_pass(texts, v: Vocabulary, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One pass of AdaGrad over batches of texts: new weights, updates of each row, and counts by (class before, word)."""
-    weights, squares = weights.copy(), np.full((len(weights), 1), 1.0, np.float32)
-    updates = np.zeros(len(weights), np.int64)
-    pairs = np.zeros((CLASSES + 1) * MODELLED, np.int64)
-    for part in texts:
-        e = Encoded(part, v)
-        known = (e.number >= 0) & (e.number < MODELLED)
-        pairs += np.bincount(e.before[known] * MODELLED + e.number[known], minlength=len(pairs))
-        for at in range(0, len(e.number), _STEP):
-            rows, y = e.rows[at : at + _STEP], e.klass[at : at + _STEP]
-            g = np.exp(log_classes(rows, weights))
-            g[np.arange(len(y)), y] -= 1
-            for k in range(rows.shape[1]):
-                order = np.argsort(rows[:, k], kind="stable")
-                r = rows[order, k]
-                starts = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                step(weights, squares, updates, r[starts], np.add.reduceat(g[order], starts, axis=0), np.diff(np.append(starts, len(r))))
-            step(weights, squares, updates, np.array([len(weights) - 1]), g.sum(axis=0, keepdims=True), np.array([len(y)]))
-    return weights, updates, pairs
-
-
-def step(weights, squares, updates, rows, g, n) -> None:
-    """An AdaGrad update, with one rate for each row."""
-    now = squares[rows] + np.einsum("ij,ij->i", g, g)[:, None] / CLASSES
-    squares[rows] = now
-    weights[rows] -= g * (_RATE / np.sqrt(now))
-    updates[rows] += n
-
-
-def within(pairs: np.ndarray, starts: np.ndarray, modelled: int, rounds: int = 30) -> np.ndarray:
-    """log10 P(word | its class, class before), by full gradient steps on the counts of the whole corpus."""
-    counts = pairs.reshape(CLASSES + 1, MODELLED)[:, :modelled].astype(float)
-    out = np.zeros((CLASSES + 1, MODELLED))
-    for k in range(len(starts) - 1):
-        a, b = starts[k], starts[k + 1]
-        if b <= a:
-            continue
-        c = counts[:, a:b]
-        own = np.log((c.sum(axis=0) + 0.5) / (c.sum() + 0.5 * (b - a)))
-        context = np.zeros_like(c)
-        n = c.sum(axis=1, keepdims=True)
-        for _ in range(rounds):
-            z = own + context
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            context += np.clip(0.7 * (c - n * p - context) / (n * p + 1.0), -1, 1)
-        z = own + context
-        z -= z.max(axis=1, keepdims=True)
-        out[:, a:b] = (z - np.log(np.exp(z).sum(axis=1, keepdims=True))) / np.log(10)
+def sums_of(tree: Tree, weights: np.ndarray, parts) -> np.ndarray | None:
+    """Observed counts, and expected ones in units of 1 / ``_UNIT``, of every weight over (leaves, lengths) of texts: whole numbers."""
+    out = None
+    for leaf, lengths in parts:
+        out = np.zeros((2, tree.starts[-1])) if out is None else out
+        contexts = tree.contexts(leaf, lengths)
+        for at in range(0, len(leaf), _STEP):
+            here = slice(at, at + _STEP)
+            for k, b in enumerate(tree.bits):
+                rows, y = tree.level(k, leaf[here], contexts[:, here])
+                p = np.rint(np.exp(log_shares(tree.table(k, weights), rows)) * np.float32(_UNIT)).astype(float).ravel()
+                children = np.arange(1 << b)
+                for f, r in enumerate(rows):
+                    low, high = (f * tree.rows, min(f + 1, 3) * tree.rows + (tree.nodes[k] if f == 3 else 0))
+                    n, base = (high - low) << b, tree.starts[k] + (low << b)
+                    inside = (r - low) << b
+                    out[0, base : base + n] += np.bincount(inside + y, minlength=n)
+                    out[1, base : base + n] += np.bincount((inside[:, None] + children).ravel(), p, n)
     return out
 
 
-def _parts(batches, column: int = 0, most: int = 1 << 19):
-    """Texts in runs of about ``most`` bytes, across batches; other columns along with them."""
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        start = size = 0
-        for i, t in enumerate(columns[column]):
-            size += len(t)
-            if size >= most or i == batch.num_rows - 1:
-                yield [c[start : i + 1] for c in columns]
-                start, size = i + 1, 0
+def stepped(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, start: np.ndarray, turn: int) -> np.ndarray:
+    """A damped diagonal Newton step towards the observed counts, and a little towards the starting weights."""
+    move = RATE / (1 + FALL * turn) * (observed - expected - PULL * (weights - start)) / (expected + DAMP)
+    return (weights + np.clip(move, -MOST, MOST)).astype(np.float32)
 
 
-def fit(texts: DataFrame, counts: DataFrame) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
-    """Vocabulary, class weights and within-class table, from all ``texts`` and their word counts."""
-    v = vocabulary(counts)
-    weights = np.zeros((sum(ROWS) + 1, CLASSES), np.float32)
-    weights[-1] = v.prior
-    shared = texts.sparkSession.sparkContext.broadcast((v, weights))
-    size = 256  # rows that travel together
+def _parts(batches, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(leaves, lengths) of the texts of batches of coded texts, in runs of about ``most`` tokens."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for raw in batch.column(batch.num_columns - 1):
+            held.append(np.frombuffer(raw.as_buffer(), np.int32))
+            size += len(held[-1])
+            if size > most:
+                yield np.concatenate(held), np.array([len(x) for x in held])
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held), np.array([len(x) for x in held])
+
+
+def coded(rows: DataFrame, v: Vocabulary) -> DataFrame:
+    """For each row of doc_id, held_out, fold and text: its tokens, known ones, the parts of both scores that are no
+    matter of context and need no rare word's count, its rare words with their numbers, and the leaf of each token.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(v)
+
+    def one(v: Vocabulary, text: bytes) -> tuple:
+        leaves, rare, base, fixed, known = [], Counter(), 0.0, 0.0, 0
+        for last, words in _word_runs(text):
+            number = np.fromiter(map(v.number.__getitem__, words), np.int64, len(words))
+            if last:
+                number = np.append(number, v.number[END])
+                words.append(END)
+            leaf = number.astype(np.int32)
+            for i in np.flatnonzero((number < 0) | (number >= v.modelled)).tolist():
+                k = v.tail(words[i])
+                leaf[i] = v.modelled + k
+                fixed -= v.tail_size[k]
+                if number[i] < 0:
+                    rare[words[i]] += 1
+                else:
+                    fixed += v.count[number[i]]
+            has = number >= 0
+            known += int(np.count_nonzero(has))
+            base += float(v.count[number[has]].sum())
+            leaves.append(leaf)
+        leaf = np.concatenate(leaves)
+        return len(leaf), known, base, fixed, list(rare), list(rare.values()), leaf.tobytes()
 
     def run(batches):
-        v, old = shared.value
-        new, updates, pairs = train_pass((p[0] for p in _parts(batches)), v, old)
-        if not updates[-1]:
-            return
-        blocks, kinds, numbers, values = [], [], [], []
-        for at in range(0, len(new), size):
-            if updates[at : at + size].any():
-                blocks.append(at // size)
-                kinds.append(0)
-                numbers.append(updates[at : at + size].tobytes())
-                values.append(((new - old)[at : at + size] * updates[at : at + size, None]).astype(np.float32).tobytes())
-        found = np.flatnonzero(pairs)
-        for part in np.split(found, np.flatnonzero(np.diff(found // MODELLED)) + 1) if len(found) else []:
-            blocks.append(-1 - int(part[0]) // MODELLED)  # all pairs of one class before meet in one task
-            kinds.append(1)
-            numbers.append(part.tobytes())
-            values.append(pairs[part].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(kinds, pa.int32()), pa.array(numbers, pa.binary()), pa.array(values, pa.binary())], names=["block", "kind", "numbers", "vals"])
-
-    def summed(batches):
-        """Partial sums of a task: one row for each block of weights, one for the pairs."""
-        n: dict[int, np.ndarray] = {}
-        d: dict[int, np.ndarray] = {}
-        pairs = None
+        v = shared.value
         for batch in batches:
-            for block, kind, numbers, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == 0:
-                    n[block] = n.get(block, 0) + np.frombuffer(numbers, np.int64)
-                    d[block] = d.get(block, 0) + np.frombuffer(values, np.float32).reshape(-1, CLASSES).astype(np.float64)
-                else:
-                    pairs = np.zeros((CLASSES + 1) * MODELLED, np.int64) if pairs is None else pairs
-                    pairs[np.frombuffer(numbers, np.int64)] += np.frombuffer(values, np.int64)
-        for block in n:
-            mean = (d[block] / np.maximum(n[block], 1)[:, None]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([0], pa.int32()), pa.array([n[block].tobytes()]), pa.array([mean.tobytes()])], names=["block", "kind", "numbers", "vals"])
-        if pairs is not None:
-            found = np.flatnonzero(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([1], pa.int32()), pa.array([found.tobytes()]), pa.array([pairs[found].tobytes()])], names=["block", "kind", "numbers", "vals"])
-
-    schema = "block int, kind int, numbers binary, vals binary"
-    deltas = texts.select("text").mapInArrow(run, schema).repartition(F.col("block")).mapInArrow(summed, schema)
-    pairs = np.zeros((CLASSES + 1) * MODELLED, np.int64)
-    for r in deltas.collect():  # bounded: each row of weights once, and each pair of a class and a word once
-        if r["kind"] == 0:
-            mean = np.frombuffer(r["vals"], np.float32).reshape(-1, CLASSES)
-            weights[r["block"] * size : r["block"] * size + len(mean)] += mean
-        else:
-            pairs[np.frombuffer(r["numbers"], np.int64)] += np.frombuffer(r["vals"], np.int64)
-    return v, weights, within(pairs, v.starts, min(MODELLED, len(v.number))).astype(np.float32)
-
-
-def score_parts(docs: DataFrame, model) -> DataFrame:
-    """For each row: its tokens, known ones, the parts of both scores that need no rare word's count, and its rare words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = [one(v, t) for t in part.column(3).to_pylist()]
+                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))], names=["doc_id", "held_out", "fold", "n_tokens", "n_known", "base", "fixed", "words", "times", "leaves"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, held_out boolean, fold int, n_tokens long, n_known long, base double, fixed double, words array<binary>, times array<long>, leaves binary"
+    return rows.select("doc_id", "held_out", "fold", "text").mapInArrow(run, schema)
+
+
+def _word_runs(text: bytes) -> Iterator[tuple[bool, list[bytes]]]:
+    """The lower-cased words of each piece of a text, and whether it is the last one."""
+    before = None
+    for piece in pieces(text):
+        if before is not None:
+            yield False, before
+        before = piece.lower().split()
+    yield True, before
+
+
+def fit(texts: DataFrame, v: Vocabulary) -> np.ndarray:
+    """The flat weights of the tree, from all coded ``texts`` that have a fold."""
+    context = texts.sparkSession.sparkContext
+    tree = Tree(v.leaves)
+    weights = start = tree.start(v.leaf_count)
+    blocks = -(-len(weights) // _BLOCK)
+    # rounds are short: as many tasks as there are cores, twice, each with one table of sums
+    tasks = 2 * context.defaultParallelism
+    train = texts.select("fold", "leaves").where("fold >= 0").coalesce(tasks)
+    schema = "block int, sums binary"
+
+    def blocked(sums: np.ndarray) -> pa.RecordBatch:
+        rows = [(k, sums[:, k * _BLOCK : (k + 1) * _BLOCK]) for k in range(blocks)]
+        rows = [(k, x.astype(np.int64).tobytes()) for k, x in rows if x.any()]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "sums"])
+
+    for turn in range(FOLDS):
+        shared = context.broadcast(weights)
+
+        def counted(batches, shared=shared):
+            sums = sums_of(tree, shared.value, _parts(batches))
+            if sums is not None:
+                yield blocked(sums)
+
+        def added(batches):
+            out: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for block, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    out[block] = out.get(block, 0) + np.frombuffer(sums.as_buffer(), np.int64)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["block", "sums"])
+
+        sums = np.zeros((2, blocks * _BLOCK))
+        for r in train.where(F.col("fold") == turn).mapInArrow(counted, schema).repartition(F.col("block")).mapInArrow(added, schema).toLocalIterator():
+            found = np.frombuffer(r["sums"], np.int64).reshape(2, -1)
+            sums[:, r["block"] * _BLOCK :][:, : found.shape[1]] = found  # each block of weights once: as large as the model
+        shared.destroy()
+        if sums[0].any():
+            weights = stepped(weights, sums[0, : len(weights)], sums[1, : len(weights)] / _UNIT, start, turn)
+    return weights
+
+
+def token_scores(tree: Tree, weights: np.ndarray, leaf: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 P(leaf | context) of every token."""
+    contexts, out = tree.contexts(leaf, lengths), np.zeros(len(leaf))
+    for at in range(0, len(leaf), _STEP):
+        here = slice(at, at + _STEP)
+        for k in range(LEVELS):
+            rows, y = tree.level(k, leaf[here], contexts[:, here])
+            out[here] += log_shares(tree.table(k, weights), rows)[np.arange(len(y)), y]
+    return out / np.log(10)
+
+
+def context_scores(texts: DataFrame, v: Vocabulary, weights: np.ndarray) -> DataFrame:
+    """The coded ``texts`` without leaves and rare words, and ``model``, the sum of the tokens' scores in their contexts."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+    tree = Tree(v.leaves)
+    names = [c for c in texts.columns if c not in ("leaves", "words", "times")]
 
     def run(batches):
-        v, weights, inside = shared.value
-        for ids, held, texts in _parts(batches, 2):
-            e = Encoded(texts, v)
-            n = len(e.number)
-            known = e.number >= 0
-            modelled = known & (e.number < MODELLED)
-            base = np.where(known, v.count[e.number], 0.0) if len(v.count) else np.zeros(n)
-            model = np.empty(n)
-            for at in range(0, n, 4096):
-                z = log_classes(e.rows[at : at + 4096], weights)
-                model[at : at + 4096] = z[np.arange(len(z)), e.klass[at : at + 4096]]
-            model /= np.log(10)
-            model[modelled] += inside[e.before[modelled], e.number[modelled]]
-            rest = ~modelled
-            model[rest] += base[rest] - v.tail_size[e.klass[rest] - HEAD]
-            starts = np.cumsum(e.lengths) - e.lengths
-            rare: list[Counter] = [Counter() for _ in texts]
-            for i, w in e.unknown.items():
-                rare[e.owner[i]][w] += 1
-            flat = [w for c in rare for w in c]
-            offsets = pa.array(np.append(0, np.cumsum([len(c) for c in rare])), pa.int32())
-            times = pa.array([k for c in rare for k in c.values()], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(e.lengths), pa.array(np.add.reduceat(known.astype(np.int64), starts)), pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(model, starts)), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.binary())), pa.ListArray.from_arrays(offsets, times)],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "model", "words", "times"],
-            )
-
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, words array<binary>, times array<long>")
+        for batch in batches:
+            done = [np.add.reduceat(token_scores(tree, shared.value, leaf, lengths), np.cumsum(lengths) - lengths) for leaf, lengths in _parts([batch])]
+            if done:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(done))], names=[*names, "model"])
+
+    return texts.select(*names, "leaves").mapInArrow(run, texts.select(*names).schema.add("model", "double"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -316,17 +367,18 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     Texts whose crc32 of doc_id leaves 2 on division by 7 are held out of training.
     """
     held = F.coalesce(residue("doc_id", 7) == 2, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_bytes().alias("text"))
+    fold = F.when(~held, F.pmod(F.xxhash64("doc_id", text_bytes()), F.lit(FOLDS)).cast("int")).otherwise(-1)
+    rows = docs.select("doc_id", held.alias("held_out"), fold.alias("fold"), text_bytes().alias("text"))
     counts = spill(word_counts(rows.where(~F.col("held_out"))), "counts")
-    v, weights, inside = fit(rows.where(~F.col("held_out")), counts)
+    v = vocabulary(counts)
     # rows are numbered once, as they are written; later plans read the written table
-    parts = spill(score_parts(rows, (v, weights, inside)).withColumn("r", F.monotonically_increasing_id()), "parts")
-    rare = parts.select("r", F.explode(F.arrays_zip("words", "times")).alias("w")).select("r", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
+    texts = spill(coded(rows, v).withColumn("r", F.monotonically_increasing_id()), "coded")
+    weights = fit(texts, v)
+    rare = texts.select("r", F.explode(F.arrays_zip("words", "times")).alias("w")).select("r", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
     tail = rare.join(counts, "word").groupBy("r").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("tail"), F.sum("k").alias("found"))
-    out = parts.drop("words", "times").join(tail, "r", "left")
+    out = context_scores(texts, v, weights).join(tail, "r", "left")
     more = F.coalesce("tail", F.lit(0.0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more - F.col("n_tokens") * float(np.log10(v.total + v.distinct + 1))).alias("base_score"), (F.col("model") + more).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce(F.col("found"), F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
+        (F.col("base") + more - F.col("n_tokens") * float(np.log10(v.total + v.distinct + 1))).alias("base_score"), (F.col("model") + F.col("fixed") + more).alias("score"),
     )
-

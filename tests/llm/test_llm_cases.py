@@ -82,28 +82,100 @@ def test_language_model(odd, none):
     assert np.isfinite(unseen["score"])
 
 
-def test_model_is_a_distribution():
-    texts = [sentence(k, 200).encode() for k in range(40)]
+def lm_by_hand(texts, held):
+    """The whole model in plain loops: what every text scores."""
     from collections import Counter
 
-    c = Counter(w for t in texts for w in maxent_lm.words_of(t))
-
-    class Rows(list):
-        pass
-
-    words = sorted(c, key=lambda w: (-c[w], w))
-    n = np.array([c[w] for w in words])
-    head = np.minimum(np.arange(len(words)) * maxent_lm.HEAD // len(words), maxent_lm.HEAD - 1)
-    v = maxent_lm.Vocabulary(maxent_lm.Known((w, k) for k, w in enumerate(words)), head.astype(np.int16), np.log10(n + 1.0), np.searchsorted(head, np.arange(maxent_lm.HEAD + 1)), np.zeros(maxent_lm.TAIL), np.zeros(maxent_lm.CLASSES), int(n.sum()), len(n))
-    start = np.zeros((sum(maxent_lm.ROWS) + 1, maxent_lm.CLASSES), np.float32)
-    weights, updates, pairs = maxent_lm.train_pass([texts], v, start)
-    e = maxent_lm.Encoded(texts, v)
-    before, after = (maxent_lm.log_classes(e.rows, w)[np.arange(len(e.klass)), e.klass].mean() for w in (start, weights))
-    assert after > before and updates[-1] == len(e.klass) and np.allclose(np.exp(maxent_lm.log_classes(e.rows[:50], weights)).sum(axis=1), 1, atol=1e-4)
-    inside = maxent_lm.within(pairs, v.starts, len(words))
-    for k in range(maxent_lm.HEAD):
-        a, b = v.starts[k], v.starts[k + 1]
-        assert b <= a or np.allclose((10 ** inside[:, a:b]).sum(axis=1), 1)
+    words = [t.encode().lower().split() + [b"\n"] for t in texts]
+    count = Counter(w for ws, h in zip(words, held, strict=True) if not h for w in ws)
+    order = sorted(count, key=lambda w: (-count[w], w))
+    leaves = maxent_lm.leaves_for(sum(count.values()))
+    tails = leaves // 16
+    own = {w: k for k, w in enumerate(order[: leaves - tails])}
+    size = Counter()
+    for w, c in count.items():
+        if w not in own:
+            size[zlib.crc32(w[-2:]) % tails] += c + 1
+    leaf = [[own[w] if w in own else leaves - tails + zlib.crc32(w[-2:]) % tails for w in ws] for ws in words]
+    tree = maxent_lm.Tree(leaves)
+    tokens = np.zeros(leaves)
+    for w, c in count.items():
+        tokens[own[w] if w in own else leaves - tails + zlib.crc32(w[-2:]) % tails] += c
+    return words, leaf, own, size, count, tree, tokens
+
+
+def test_language_model_by_hand(spark):
+    import math
+
+    rows = [(k, sentence(k, 60) + (" rare%d" % k)) for k in range(60)]
+    held = [zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows]
+    words, leaf, own, size, count, tree, tokens = lm_by_hand([t for _, t in rows], held)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).select(F.col("text").cast("binary").alias("text"))
+    v = maxent_lm.vocabulary(maxent_lm.word_counts(train))
+    assert np.array_equal(v.leaf_count, tokens) and {w: k for w, k in v.number.items() if k < v.modelled} == own
+    coded = maxent_lm.coded(docs.selectExpr("doc_id", "false AS held_out", "0 AS fold", "CAST(text AS binary) AS text"), v).orderBy("doc_id").collect()
+    assert [np.frombuffer(r["leaves"], np.int32).tolist() for r in coded] == leaf
+    # sums of counts by loops over tokens and levels
+    weights = tree.start(tokens) + np.random.default_rng(1).normal(0, 0.3, tree.starts[-1]).astype(np.float32)
+    some = leaf[:5]
+    flat, lengths = np.array(sum(some, []), np.int32), np.array(list(map(len, some)))
+    contexts = tree.contexts(flat, lengths)
+    observed, expected, logs = np.zeros(len(weights)), np.zeros(len(weights)), np.zeros(len(flat))
+    for i, x in enumerate(flat):
+        for k, bits in enumerate(tree.bits):
+            at, y = tree.level(k, flat[i : i + 1], contexts[:, i : i + 1])
+            first = [int(tree.starts[k]) + (int(r[0]) << bits) for r in at]
+            z = [sum(float(weights[f + c]) for f in first) for c in range(1 << bits)]
+            top = max(z)
+            total = sum(math.exp(q - top) for q in z)
+            logs[i] += z[int(y[0])] - top - math.log(total)
+            for f in first:
+                observed[f + int(y[0])] += 1
+                for c in range(1 << bits):
+                    expected[f + c] += math.exp(z[c] - top) / total
+    sums = maxent_lm.sums_of(tree, weights, [(flat, lengths)])
+    assert np.array_equal(sums[0], observed) and np.abs(sums[1] / maxent_lm._UNIT - expected).max() < 0.5
+    assert np.allclose(maxent_lm.token_scores(tree, weights, flat, lengths), logs / math.log(10), atol=1e-4)
+    # texts start anew, and a context is the two tokens before
+    place = int(lengths[0])
+    assert contexts[0, place] == contexts[0, 0] and len({int(c) for c in contexts[2]}) > 100
+    # one distribution over all leaves in a context
+    every = np.arange(tree.leaves, dtype=np.int32)
+    held_fast = np.repeat(contexts[:, 7:8], tree.leaves, axis=1)
+    total = np.zeros(tree.leaves)
+    for k in range(maxent_lm.LEVELS):
+        at, y = tree.level(k, every, held_fast)
+        total += maxent_lm.log_shares(tree.table(k, weights), at)[every, y]
+    assert abs(np.exp(total.astype(float)).sum() - 1) < 1e-3
+    # training helps, and the query's scores are those of the fitted weights
+    texts = maxent_lm.coded(docs.selectExpr("doc_id", "false AS held_out", "CAST(pmod(doc_id, 12) AS int) AS fold", "CAST(text AS binary) AS text"), v)
+    fitted = maxent_lm.fit(texts, v)
+    all_, sizes = np.array(sum(leaf, []), np.int32), np.array(list(map(len, leaf)))
+    before, after = (maxent_lm.token_scores(tree, w, all_, sizes).sum() for w in (tree.start(tokens), fitted))
+    assert after > before + 10
+    got = {r["doc_id"]: r["model"] + r["fixed"] for r in maxent_lm.context_scores(texts, v, fitted).collect()}
+    per = maxent_lm.token_scores(tree, fitted, all_, sizes)
+    at = 0
+    for (doc, _), ws in zip(rows, words, strict=True):
+        plain = per[at : at + len(ws)].sum() + sum(math.log10(count[w] + 1) * (w in v.number) - math.log10(size[zlib.crc32(w[-2:]) % (tree.leaves // 16)] + 1) for w in ws if w not in own)
+        at += len(ws)
+        assert got[doc] == pytest.approx(plain, abs=1e-6)
+
+
+def test_language_model_whatever_the_partitions(spark):
+    docs = spark.createDataFrame([(k, sentence(k % 90, 50)) for k in range(100)], "doc_id long, text string")
+    runs = [{r["doc_id"]: r["score"] for r in maxent_lm.lm_scores(docs.repartition(n)).collect()} for n in (1, 4, 16)]
+    assert all(r[k] == pytest.approx(runs[0][k], rel=1e-9) for r in runs for k in r)
+    words = spark.createDataFrame([(str(k), sentence(k, 50)) for k in range(20)], "doc_id string, text string")
+    assert {r["doc_id"] for r in maxent_lm.lm_scores(words).collect()} == {str(k) for k in range(20)}
+
+
+def test_long_texts_in_pieces():
+    text = sentence(1, 500).replace(" ", "\n", 50).encode()
+    cut = list(maxent_lm.pieces(text, 100))
+    assert b"".join(cut) == text and len(cut) > 20 and [w for c in cut for w in c.split()] == text.split()
+    assert list(maxent_lm.pieces(b"x" * 1000, 100)) == [b"x" * 1000, b""] and list(maxent_lm.pieces(b"")) == [b""]
 
 
 def test_decontamination_blocks_agree(spark, odd, none):
