@@ -7,9 +7,10 @@ over summed weight rows of the same hashed features, joined with the node above:
 two before (skip) and the pair of both (n-gram).  Within a tail leaf a word has its add-one share, exact,
 which also leaves room for unseen words.
 
-Training is synchronous: texts are dealt to folds by a hash of the row, each round sums observed and expected
-counts of one fold at common weights over all tasks, and one damped diagonal Newton step follows.  The sums are
-of whole numbers, so neither partitions nor the order of tasks change the model.
+Training is synchronous: texts are dealt to folds by a hash of the row, each round sums over all tasks, for one fold at
+common weights, the observed counts and those of one draw from the model for each token (its expectation is the exact
+gradient), and one damped diagonal Newton step follows.  A draw is a function of the token, its context and its place,
+and the sums are of whole numbers, so neither partitions nor the order of tasks change the model.
 
 What the model learns grows with the text: leaves, and hash rows of each feature and level, are
 ``8 * tokens ** 0.4``, rounded to a power of two (4,096 at least).  Counts of ``KNOWN`` words at least travel as a
@@ -40,12 +41,12 @@ LEAST_LEAVES, GROWTH, LEVELS = 1 << 12, 0.4, 3
 #: One leaf in ``TAILS`` is of rare words.
 TAILS = 16
 #: Each training text is in one of the folds, and each fold is one round.
-FOLDS = 12
+FOLDS = 8
 #: Of a step: its first rate and how fast it falls, the pull to zero, the damping, and the most that a weight moves.
-RATE, FALL, PULL, DAMP, MOST = 0.8, 0.3, 0.2, 4.0, 2.0
-#: Expected counts are summed in these units.
-_UNIT = 1 << 12
-_STEP, _BLOCK = 1 << 14, 1 << 12
+RATE, FALL, PULL, DAMP, MOST = 0.8, 0.3, 0.5, 8.0, 2.0
+#: A weight's largest size, so that sums of four can be exponents of 32-bit numbers.
+_LARGEST = 15.0
+_STEP, _BLOCK = 1 << 13, 1 << 12
 END = b"\n"  # no word holds a line end
 
 
@@ -103,6 +104,7 @@ class Vocabulary:
 
     number: Known
     count: np.ndarray  # log10(count + 1) of each known number
+    leaf: np.ndarray  # leaf of each known number
     tail_size: np.ndarray  # log10(tokens + words + 1) of each tail leaf
     leaf_count: np.ndarray  # tokens of each leaf
     leaves: int
@@ -113,8 +115,14 @@ class Vocabulary:
     def modelled(self) -> int:
         return self.leaves - self.leaves // TAILS
 
-    def tail(self, word: bytes) -> int:
-        return zlib.crc32(word[-2:]) % (self.leaves // TAILS)
+    @property
+    def within(self) -> np.ndarray:
+        """log10 P(word | leaf) of each known number."""
+        return np.where(self.leaf < self.modelled, 0.0, self.count - self.tail_size[np.maximum(self.leaf - self.modelled, 0)])
+
+
+def tail_of(word: bytes, leaves: int) -> int:
+    return zlib.crc32(word[-2:]) % (leaves // TAILS)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -131,13 +139,14 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     for r in counts.groupBy((F.crc32(last) % tails).cast("int").alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         size[r["k"]], kinds[r["k"]] = r["n"], r["words"]
     for w, c in zip(words[:modelled], n[:modelled], strict=True):  # words with a leaf of their own are in no tail
-        k = zlib.crc32(w[-2:]) % tails
+        k = tail_of(w, leaves)
         size[k] -= c
         kinds[k] -= 1
     leaf_count = np.zeros(leaves)
     leaf_count[:modelled] = n[:modelled]
     leaf_count[leaves - tails :] = size
-    return Vocabulary(Known((w, k) for k, w in enumerate(words)), np.log10(n + 1.0), np.log10(size + kinds + 1), leaf_count, leaves, total, distinct)
+    leaf = np.array([k if k < modelled else leaves - tails + tail_of(w, leaves) for k, w in enumerate(words)], np.int32)
+    return Vocabulary(Known((w, k) for k, w in enumerate(words)), np.log10(n + 1.0), leaf, np.log10(size + kinds + 1), leaf_count, leaves, total, distinct)
 
 
 class Tree:
@@ -159,7 +168,8 @@ class Tree:
         """Weights that give each child its share of its node's tokens, whatever the context."""
         out = np.zeros(self.starts[-1], np.float32)
         for k, b in enumerate(self.bits):
-            n = leaf_count.reshape(self.nodes[k], 1 << b, -1).sum(axis=2) + 0.5
+            n = leaf_count.reshape(self.nodes[k], 1 << b, -1).sum(axis=2)
+            n = n + np.maximum(0.5, 1e-9 * n.sum(axis=1, keepdims=True))
             out[self.starts[k + 1] - n.size : self.starts[k + 1]] = np.log(n / n.sum(axis=1, keepdims=True)).ravel()
         return out
 
@@ -188,41 +198,50 @@ class Tree:
         return flat[self.starts[k] : self.starts[k + 1]].reshape(-1, 1 << self.bits[k])
 
 
-def log_shares(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    """Log probabilities of all children in each context."""
-    z = weights[rows[0]]
+def potentials(weights: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Summed weights of all children in each context, and their exponentials."""
+    z = np.take(weights, rows[0], axis=0, mode="clip")
     for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+        z += np.take(weights, r, axis=0, mode="clip")
+    return z, np.exp(z)
+
+
+def drawn(e: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """A child for each row of ``e``, with chances in proportion, by a fixed function of ``seed``."""
+    u = seed * np.uint64(0xFF51AFD7ED558CCD)
+    u = ((u ^ (u >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(41)).astype(np.float32) / np.float32(1 << 23)
+    n = e.shape[1]
+    up = e @ np.triu(np.ones((n, n), np.float32))  # running sums, in a fixed order
+    below = (up <= (u * up[:, -1])[:, None]).astype(np.float32) @ np.ones(n, np.float32)
+    return np.minimum(below.astype(np.int64), n - 1)
 
 
 def sums_of(tree: Tree, weights: np.ndarray, parts) -> np.ndarray | None:
-    """Observed counts, and expected ones in units of 1 / ``_UNIT``, of every weight over (leaves, lengths) of texts: whole numbers."""
+    """Observed counts and drawn ones of every weight over (leaves, lengths) of texts."""
     out = None
     for leaf, lengths in parts:
-        out = np.zeros((2, tree.starts[-1])) if out is None else out
+        out = np.zeros((2, tree.starts[-1]), np.int64) if out is None else out
         contexts = tree.contexts(leaf, lengths)
-        for at in range(0, len(leaf), _STEP):
-            here = slice(at, at + _STEP)
-            for k, b in enumerate(tree.bits):
+        place = np.arange(len(leaf)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        seeds = contexts[2] ^ (leaf.astype(np.uint64) << np.uint64(32)) ^ place.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)
+        for k, b in enumerate(tree.bits):
+            flat: list[list[np.ndarray]] = [[], []]
+            for at in range(0, len(leaf), _STEP):
+                here = slice(at, at + _STEP)
                 rows, y = tree.level(k, leaf[here], contexts[:, here])
-                p = np.rint(np.exp(log_shares(tree.table(k, weights), rows)) * np.float32(_UNIT)).astype(float).ravel()
-                children = np.arange(1 << b)
-                for f, r in enumerate(rows):
-                    low, high = (f * tree.rows, min(f + 1, 3) * tree.rows + (tree.nodes[k] if f == 3 else 0))
-                    n, base = (high - low) << b, tree.starts[k] + (low << b)
-                    inside = (r - low) << b
-                    out[0, base : base + n] += np.bincount(inside + y, minlength=n)
-                    out[1, base : base + n] += np.bincount((inside[:, None] + children).ravel(), p, n)
+                guess = drawn(potentials(tree.table(k, weights), rows)[1], seeds[here] + np.uint64(k))
+                for r in rows:
+                    flat[0].append((r << b) + y)
+                    flat[1].append((r << b) + guess)
+            for kind in (0, 1):
+                out[kind, tree.starts[k] : tree.starts[k + 1]] += np.bincount(np.concatenate(flat[kind]), minlength=tree.sizes[k])
     return out
 
 
 def stepped(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, start: np.ndarray, turn: int) -> np.ndarray:
     """A damped diagonal Newton step towards the observed counts, and a little towards the starting weights."""
     move = RATE / (1 + FALL * turn) * (observed - expected - PULL * (weights - start)) / (expected + DAMP)
-    return (weights + np.clip(move, -MOST, MOST)).astype(np.float32)
+    return np.clip(weights + np.clip(move, -MOST, MOST), np.minimum(start, -_LARGEST), _LARGEST).astype(np.float32)
 
 
 def _parts(batches, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -246,35 +265,34 @@ def coded(rows: DataFrame, v: Vocabulary) -> DataFrame:
     """
     shared = rows.sparkSession.sparkContext.broadcast(v)
 
-    def one(v: Vocabulary, text: bytes) -> tuple:
+    def one(v: Vocabulary, within: np.ndarray, text: bytes) -> tuple:
         leaves, rare, base, fixed, known = [], Counter(), 0.0, 0.0, 0
-        for last, words in _word_runs(text):
+        for words in _word_runs(text):
             number = np.fromiter(map(v.number.__getitem__, words), np.int64, len(words))
-            if last:
-                number = np.append(number, v.number[END])
-                words.append(END)
-            leaf = number.astype(np.int32)
-            for i in np.flatnonzero((number < 0) | (number >= v.modelled)).tolist():
-                k = v.tail(words[i])
-                leaf[i] = v.modelled + k
-                fixed -= v.tail_size[k]
-                if number[i] < 0:
-                    rare[words[i]] += 1
-                else:
-                    fixed += v.count[number[i]]
-            has = number >= 0
-            known += int(np.count_nonzero(has))
-            base += float(v.count[number[has]].sum())
+            new = np.flatnonzero(number < 0)
+            if len(v.leaf):
+                leaf = v.leaf[number]
+                have = number[number >= 0] if len(new) else number
+                base += float(v.count[have].sum())
+                fixed += float(within[have].sum())
+            else:
+                leaf = np.zeros(len(words), np.int32)
+            tails = [tail_of(words[i], v.leaves) for i in new.tolist()]
+            leaf[new] = np.array(tails, np.int32) + v.modelled
+            fixed -= float(v.tail_size[tails].sum()) if tails else 0.0
+            rare.update(words[i] for i in new.tolist())
+            known += len(number) - len(new)
             leaves.append(leaf)
         leaf = np.concatenate(leaves)
         return len(leaf), known, base, fixed, list(rare), list(rare.values()), leaf.tobytes()
 
     def run(batches):
         v = shared.value
+        within = v.within
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                found = [one(v, t) for t in part.column(3).to_pylist()]
+                found = [one(v, within, t) for t in part.column(3).to_pylist()]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *(pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds))], names=["doc_id", "held_out", "fold", "n_tokens", "n_known", "base", "fixed", "words", "times", "leaves"])
 
@@ -283,14 +301,14 @@ def coded(rows: DataFrame, v: Vocabulary) -> DataFrame:
     return rows.select("doc_id", "held_out", "fold", "text").mapInArrow(run, schema)
 
 
-def _word_runs(text: bytes) -> Iterator[tuple[bool, list[bytes]]]:
-    """The lower-cased words of each piece of a text, and whether it is the last one."""
-    before = None
+def _word_runs(text: bytes) -> Iterator[list[bytes]]:
+    """The tokens of a text, piece by piece."""
+    before: list[bytes] = []
     for piece in pieces(text):
-        if before is not None:
-            yield False, before
+        if before:
+            yield before
         before = piece.lower().split()
-    yield True, before
+    yield [*before, END]
 
 
 def fit(texts: DataFrame, v: Vocabulary) -> np.ndarray:
@@ -299,14 +317,14 @@ def fit(texts: DataFrame, v: Vocabulary) -> np.ndarray:
     tree = Tree(v.leaves)
     weights = start = tree.start(v.leaf_count)
     blocks = -(-len(weights) // _BLOCK)
-    # rounds are short: as many tasks as there are cores, twice, each with one table of sums
-    tasks = 2 * context.defaultParallelism
-    train = texts.select("fold", "leaves").where("fold >= 0").coalesce(tasks)
+    # a table of sums for each core, whatever the number of files
+    train = texts.select("fold", "leaves").coalesce(context.defaultParallelism)
     schema = "block int, sums binary"
 
     def blocked(sums: np.ndarray) -> pa.RecordBatch:
         rows = [(k, sums[:, k * _BLOCK : (k + 1) * _BLOCK]) for k in range(blocks)]
-        rows = [(k, x.astype(np.int64).tobytes()) for k, x in rows if x.any()]
+        rows = [(k, x.astype(np.int32 if x.max() < 1 << 31 else np.int64)) for k, x in rows if x.any()]
+        rows = [(k, bytes([x.itemsize]) + x.tobytes()) for k, x in rows]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "sums"])
 
     for turn in range(FOLDS):
@@ -321,7 +339,8 @@ def fit(texts: DataFrame, v: Vocabulary) -> np.ndarray:
             out: dict[int, np.ndarray] = {}
             for batch in batches:
                 for block, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    out[block] = out.get(block, 0) + np.frombuffer(sums.as_buffer(), np.int64)
+                    raw = sums.as_buffer().to_pybytes()
+                    out[block] = out.get(block, 0) + np.frombuffer(raw, f"i{raw[0]}", offset=1).astype(np.int64)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["block", "sums"])
 
@@ -331,7 +350,7 @@ def fit(texts: DataFrame, v: Vocabulary) -> np.ndarray:
             sums[:, r["block"] * _BLOCK :][:, : found.shape[1]] = found  # each block of weights once: as large as the model
         shared.destroy()
         if sums[0].any():
-            weights = stepped(weights, sums[0, : len(weights)], sums[1, : len(weights)] / _UNIT, start, turn)
+            weights = stepped(weights, sums[0, : len(weights)], sums[1, : len(weights)], start, turn)
     return weights
 
 
@@ -342,7 +361,8 @@ def token_scores(tree: Tree, weights: np.ndarray, leaf: np.ndarray, lengths: np.
         here = slice(at, at + _STEP)
         for k in range(LEVELS):
             rows, y = tree.level(k, leaf[here], contexts[:, here])
-            out[here] += log_shares(tree.table(k, weights), rows)[np.arange(len(y)), y]
+            z, e = potentials(tree.table(k, weights), rows)
+            out[here] += np.take(z.ravel(), (np.arange(len(y)) << tree.bits[k]) + y) - np.log(np.einsum("ij->i", e))
     return out / np.log(10)
 
 
@@ -372,7 +392,7 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = spill(word_counts(rows.where(~F.col("held_out"))), "counts")
     v = vocabulary(counts)
     # rows are numbered once, as they are written; later plans read the written table
-    texts = spill(coded(rows, v).withColumn("r", F.monotonically_increasing_id()), "coded")
+    texts = spill(coded(rows, v).withColumn("r", F.monotonically_increasing_id()), "coded", "fold")
     weights = fit(texts, v)
     rare = texts.select("r", F.explode(F.arrays_zip("words", "times")).alias("w")).select("r", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
     tail = rare.join(counts, "word").groupBy("r").agg(F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("tail"), F.sum("k").alias("found"))

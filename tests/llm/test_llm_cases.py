@@ -113,7 +113,7 @@ def test_language_model_by_hand(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     train = docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2).select(F.col("text").cast("binary").alias("text"))
     v = maxent_lm.vocabulary(maxent_lm.word_counts(train))
-    assert np.array_equal(v.leaf_count, tokens) and {w: k for w, k in v.number.items() if k < v.modelled} == own
+    assert np.array_equal(v.leaf_count, tokens) and {w: k for w, k in v.number.items() if k < v.modelled} == own and v.leaf[: len(own)].tolist() == list(own.values())
     coded = maxent_lm.coded(docs.selectExpr("doc_id", "false AS held_out", "0 AS fold", "CAST(text AS binary) AS text"), v).orderBy("doc_id").collect()
     assert [np.frombuffer(r["leaves"], np.int32).tolist() for r in coded] == leaf
     # sums of counts by loops over tokens and levels
@@ -121,7 +121,7 @@ def test_language_model_by_hand(spark):
     some = leaf[:5]
     flat, lengths = np.array(sum(some, []), np.int32), np.array(list(map(len, some)))
     contexts = tree.contexts(flat, lengths)
-    observed, expected, logs = np.zeros(len(weights)), np.zeros(len(weights)), np.zeros(len(flat))
+    observed, logs = np.zeros(len(weights)), np.zeros(len(flat))
     for i, x in enumerate(flat):
         for k, bits in enumerate(tree.bits):
             at, y = tree.level(k, flat[i : i + 1], contexts[:, i : i + 1])
@@ -132,10 +132,13 @@ def test_language_model_by_hand(spark):
             logs[i] += z[int(y[0])] - top - math.log(total)
             for f in first:
                 observed[f + int(y[0])] += 1
-                for c in range(1 << bits):
-                    expected[f + c] += math.exp(z[c] - top) / total
     sums = maxent_lm.sums_of(tree, weights, [(flat, lengths)])
-    assert np.array_equal(sums[0], observed) and np.abs(sums[1] / maxent_lm._UNIT - expected).max() < 0.5
+    assert np.array_equal(sums[0], observed)
+    for k, bits in enumerate(tree.bits):  # draws fall in the rows of their contexts
+        assert np.array_equal(*(tree.table(k, x).sum(axis=1) for x in sums))
+    one = np.array([[0.1, 0.0, 0.6, 0.3]], np.float32)
+    often = np.bincount(maxent_lm.drawn(np.repeat(one, 20_000, axis=0), np.arange(20_000, dtype=np.uint64)), minlength=4) / 20_000
+    assert often[1] == 0 and np.abs(often - one[0]).max() < 0.02
     assert np.allclose(maxent_lm.token_scores(tree, weights, flat, lengths), logs / math.log(10), atol=1e-4)
     # texts start anew, and a context is the two tokens before
     place = int(lengths[0])
@@ -146,7 +149,8 @@ def test_language_model_by_hand(spark):
     total = np.zeros(tree.leaves)
     for k in range(maxent_lm.LEVELS):
         at, y = tree.level(k, every, held_fast)
-        total += maxent_lm.log_shares(tree.table(k, weights), at)[every, y]
+        z, e = maxent_lm.potentials(tree.table(k, weights), at)
+        total += z[every, y] - np.log(e.sum(axis=1))
     assert abs(np.exp(total.astype(float)).sum() - 1) < 1e-3
     # training helps, and the query's scores are those of the fitted weights
     texts = maxent_lm.coded(docs.selectExpr("doc_id", "false AS held_out", "CAST(pmod(doc_id, 12) AS int) AS fold", "CAST(text AS binary) AS text"), v)
