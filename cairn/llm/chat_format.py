@@ -6,7 +6,8 @@ texts are broken by an escape character after their first character, which ``par
 
 Cases: null texts and roles are empty; a role that the template lacks is written with its name; turns are
 ordered by turn, then role and text, and repeated rows stay; rows with a null conv_id form one
-conversation; extra columns are ignored; a conversation is one row of output, so it is gathered whole.
+conversation; an empty table has no conversations; extra columns are ignored, whatever their names; a conversation is one
+row of output, so it is gathered whole, very long texts and conversations included: one must fit a task's memory.
 """
 
 from __future__ import annotations

@@ -5,8 +5,10 @@ block of items, whose number of windows is bounded, is broadcast; word numbers a
 candidates in the token stream, and the words themselves confirm them.  A benchmark of more windows is
 scanned block by block with the same result.
 
-Cases: null and wordless texts have no words and no hits; items with null ids are left out; repeated items
-count once; repeated documents are each scanned; extra columns pass through.
+Cases: null and wordless texts have no words and no hits; very long texts are scanned in one piece, other texts in
+slices; items with null ids are left out; repeated items count once, and items of equal text are each named; an empty
+benchmark hits nothing; repeated documents are each scanned; ids may have any type; extra columns pass through, and
+where one has the name of a result column, the result's name gets an underscore more before it.
 """
 
 from __future__ import annotations
@@ -19,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .runtime import per_batch, slices, spill
+from .runtime import fresh, per_batch, slices, spill
 from .text import plain_words
 
 WINDOW = 13
@@ -37,9 +40,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 class WindowIndex:
     """The windows of some items by their length: rolling hashes to find them, words to verify them."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        self.items: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
+        self.items: dict[tuple[bytes, ...], set] = defaultdict(set)
         for item, text in items:
             words = plain_words(text)
             for w in words:
@@ -55,7 +58,7 @@ class WindowIndex:
             by_size[len(words)].append((self.values[ids] * _powers(_INVERSE, len(ids))).sum(dtype=np.uint64))
         self.hashes = {size: np.unique(np.array(h, np.uint64)) for size, h in by_size.items()}
 
-    def scan(self, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list[int]]]:
+    def scan(self, texts: list[bytes]) -> Iterator[tuple[int, list[tuple[int, int]], list]]:
         """For each text: words, merged word spans [start, end) that windows cover, ids of the items found."""
         split = [plain_words(t) for t in texts]
         flat: list[bytes] = []
@@ -69,7 +72,7 @@ class WindowIndex:
         outside = np.append(0, np.cumsum(ids == 0))
         rolled = np.append(np.zeros(1, np.uint64), np.cumsum(self.values[ids] * _powers(_INVERSE, len(ids)), dtype=np.uint64))
         powers = _powers(_BASE, len(ids))
-        found: dict[int, list[tuple[int, int, set[int]]]] = defaultdict(list)
+        found: dict[int, list[tuple[int, int, set]]] = defaultdict(list)
         for size, hashes in self.hashes.items():
             if size > len(ids):
                 continue
@@ -89,19 +92,26 @@ class WindowIndex:
             yield len(words), spans, sorted(set().union(*(x[2] for x in found.get(k, []))))
 
 
+def result_names(docs: DataFrame) -> list[str]:
+    """What ``scan`` calls the words, spans and items of ``docs``."""
+    return [fresh(docs.columns, name) for name in ("_words", "_spans", "_items")]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windows: int = 500_000, clean: bool = False) -> DataFrame:
-    """All columns of ``docs`` and ``_words``, ``_spans`` (arrays of start and end word) and ``_items``.
+    """All columns of ``docs`` and ``_words``, ``_spans`` (arrays of start and end word) and ``_items`` (of item_id's type).
 
     The benchmark is split into blocks of about ``most_windows`` windows; each block is one pass.
     With ``clean`` the last pass gives the columns of ``docs`` only, as ``decontaminated`` says.
     """
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.col("text").cast("binary").alias("text")).distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + size // (4 * most_windows)  # a word takes more than four bytes, or makes fewer windows than this allows for
-    names = docs.columns
+    names, more = docs.columns, result_names(docs)
     at = names.index("text")
-    out = docs.withColumns({"_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<array<long>>"), "_items": F.array().cast("array<long>")})
+    kind = benchmark.schema["item_id"].dataType
+    out = docs.withColumns(dict(zip(more, (F.lit(0).cast("long"), F.array().cast("array<array<long>>"), F.array().cast(T.ArrayType(kind))), strict=True)))
     schema = out.schema
+    ids = pa.list_({"string": pa.string(), "int": pa.int32()}.get(kind.simpleString(), pa.int64()))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
         shared = docs.sparkSession.sparkContext.broadcast(WindowIndex([(r["item_id"], bytes(r["text"])) for r in rows], window))
@@ -121,7 +131,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_windo
             if last:
                 return _cleaned(batch, names, texts, words, spans)
             long = pa.int64()
-            return pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(words, long), pa.array(spans, pa.list_(pa.list_(long))), pa.array(items, pa.list_(long))], names=[*names, "_words", "_spans", "_items"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(words, long), pa.array(spans, pa.list_(pa.list_(long))), pa.array(items, ids)], names=[*names, *more])
 
         out = out.mapInArrow(per_batch(run), docs.schema if last else schema)
         if blocks > 1:

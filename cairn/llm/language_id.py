@@ -6,8 +6,10 @@ its languages apart by votes, then margins.  Families of listed codes are fixed;
 family of its own.  All machines are trained together on a bounded sample and score together, as one
 gather and one sum a text.
 
-Cases: null texts and texts without a letter are ``und`` with score 0; with no labelled rows every text
-is ``und``; repeated rows are each scored; extra columns are ignored.
+Cases: null texts and texts without a letter are ``und`` with score 0; very long texts count whole; with no labelled rows
+every text is ``und``; repeated rows are each scored, and of rows that share doc_id and lang one trains, the least text;
+equal votes go to the first language by name; an empty table has no predictions; doc_id may have any type; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -130,7 +132,8 @@ def fit(docs: DataFrame, most_each: int = 1_500) -> Hierarchy:
         return Hierarchy([], [], [], np.zeros((1 << BITS, 0)), np.zeros(0))
     rate = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, most_each / n))))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = usable.where(draw < F.try_element_at(rate, F.col("lang"))).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", text_bytes().alias("text"))
+    sample = usable.where(draw < F.try_element_at(rate, F.col("lang"))).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", text_bytes().alias("text"))
+    sample = sample.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     langs = sorted(counts)
     families = sorted({family_of(x) for x in langs})
     pairs = [(x, y) for x, y in combinations(range(len(langs)), 2) if family_of(langs[x]) == family_of(langs[y])]
@@ -157,7 +160,7 @@ def fit(docs: DataFrame, most_each: int = 1_500) -> Hierarchy:
             w = fit_svm([rows[k] for k in at], y)
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([w.astype(np.float32).tobytes()])], names=["number", "w"])
 
-    one = sample.mapInArrow(per_batch(counted), "doc_id long, lang string, i array<int>, v array<float>").repartition(1)
+    one = sample.mapInArrow(per_batch(counted), "doc_id string, lang string, i array<int>, v array<float>").repartition(1)
     found = {r["number"]: np.frombuffer(r["w"], np.float32) for r in one.mapInArrow(trained, "number int, w binary").collect()}
     machines = np.stack([found[k] for k in sorted(found)], axis=1) if found else np.zeros(((1 << BITS) + 1, 0), np.float32)
     return Hierarchy(langs, families, pairs, np.ascontiguousarray(machines[:-1]), machines[-1].copy())
@@ -172,4 +175,5 @@ def language_id(docs: DataFrame, most_each: int = 1_500) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(residue("doc_id", 5) == 0, F.lit(False))
-    return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), text_bytes().alias("text")).mapInArrow(per_batch(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", held.alias("held_out"), text_bytes().alias("text")).mapInArrow(per_batch(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double")

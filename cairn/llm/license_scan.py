@@ -6,8 +6,9 @@ tokens must hold one of its first few (prefix filter), have enough tokens (lengt
 them left after the first common one (positional filter).  What passes is counted exactly.  The templates
 and their vocabulary are fixed and small, so they are broadcast; blocks never move.
 
-Cases: null and empty texts have no words and no labels; repeated rows are each scanned; extra columns are
-ignored.
+Cases: null and empty texts have no words and no labels; very long texts are scanned whole, block by block; repeated
+rows are each scanned; tokens equally frequent (ties) are ordered by their bytes; an empty table has no rows; doc_id may
+have any type; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -140,5 +141,5 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
         columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
         return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
-    schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(per_batch(run), schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(per_batch(run), schema)

@@ -109,17 +109,17 @@ def short(h: bytes) -> int:
     return int.from_bytes(h[:8], "little", signed=True)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """A row for each line with a word: digest ``h``, doc_id, line number ``n`` and the ``row`` it stands in (column ``row`` of ``docs``, if there)."""
+def occurrences(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """A row for each line with a word: digest ``h``, doc_id, line number ``n`` and the ``row`` it stands in (as the column ``row`` says, if given)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(at, digest(ln), k) for at, t in enumerate(batch.column(1).to_pylist()) for k, ln in _worded(t)]
         at = pa.array([r[0] for r in rows], pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.binary()), batch.column(0).take(at), pa.array([r[2] for r in rows], pa.int64()), batch.column(2).take(at)], names=["h", "doc_id", "n", "row"])
 
-    row = F.col("row") if "row" in docs.columns else F.monotonically_increasing_id()
+    number = F.col(row) if row else F.monotonically_increasing_id()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_bytes().alias("text"), row.alias("row")).mapInArrow(per_batch(run), f"h binary, doc_id {kind}, n long, row long")
+    return docs.select("doc_id", text_bytes().alias("text"), number.alias("row")).mapInArrow(per_batch(run), f"h binary, doc_id {kind}, n long, row long")
 
 
 def buckets(docs: DataFrame, lines: int) -> DataFrame:
@@ -280,9 +280,9 @@ def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     return joined.repartition(tasks, "bucket", "part").mapInArrow(verified, "a binary, b binary")
 
 
-def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def line_components(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(occurrences: h, doc_id, n, row) and (lines: h, root, copies, first as a struct of no_id, doc_id, n and row)."""
-    seen = spill(occurrences(docs), "lines")
+    seen = spill(occurrences(docs, row), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "n", "row")
     nodes = spill(seen.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "nodes")
     members = spill(buckets(docs, nodes.count()), "buckets")
@@ -292,9 +292,9 @@ def line_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return seen, spill(rooted, "rooted")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, row: str | None = None) -> DataFrame:
     """Every line that is not alone in its component: doc_id, line ``n``, the component's first line (kept_doc, kept_line), ``kept``, ``row``."""
-    seen, rooted = line_components(docs)
+    seen, rooted = line_components(docs, row)
     groups = rooted.groupBy("root").agg(F.min("first").alias("keeper"), F.sum("copies").alias("copies")).where("copies > 1")
     repeated = spill(rooted.select("h", "root").join(groups, "root").select("h", F.col("keeper.doc_id").alias("kept_doc"), F.col("keeper.n").alias("kept_line"), F.col("keeper.row").alias("kept_row"), "copies"), "repeated")
     kept = (F.col("row") == F.col("kept_row")) & (F.col("n") == F.col("kept_line"))
@@ -306,7 +306,7 @@ def dedup_lines(docs: DataFrame, drop_emptied: bool = True) -> DataFrame:
     names, schema = docs.columns, docs.schema
     row, lost = fresh(names, "row"), fresh(names, "lost")
     docs = numbered(docs, "docs", row)
-    found = repeated_lines(docs.select("doc_id", "text", F.col(row).alias("row")))
+    found = repeated_lines(docs.select("doc_id", "text", row), row)
     gone = spill(found.where("NOT kept").groupBy("row").agg(F.collect_set("n").alias("lost")), "gone")
     gone = small_or_shuffled(gone.toDF(row, lost), 200_000)
     joined = docs.join(gone, row, "left").select(*names, lost)

@@ -13,8 +13,8 @@ gradient), and one damped diagonal Newton step follows.  A draw is a function of
 and the sums are of whole numbers, so neither partitions nor the order of tasks change the model.
 
 What the model learns grows with the text: leaves, and hash rows of each feature and level, are
-``8 * tokens ** 0.4``, rounded to a power of two (4,096 at least).  Counts of ``KNOWN`` words at least travel as a
-broadcast; rarer words meet their counts in a join by word.
+``8 * tokens ** 0.4``, rounded to a power of two (4,096 at least).  The most frequent words, up to ``KNOWN`` of them or
+as many as there are leaves, travel as a broadcast; rarer words meet their counts in a join by word.
 
 Cases: null and empty texts are the end token alone; very long texts are read in pieces; repeated rows are each
 counted and scored; rows with a null doc_id are held out of nothing (they train); doc_id may have any type; extra
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import residue, spill, text_bytes
+from .text import pieces
 
 KNOWN = 1 << 17
 LEAST_LEAVES, GROWTH, LEVELS = 1 << 12, 0.4, 3
@@ -54,16 +55,6 @@ def words_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
-    """The text in pieces of about ``most`` bytes, cut between words."""
-    start = 0
-    while len(text) - start > most:
-        end = min((k for k in (text.find(c, start + most) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if k >= 0), default=len(text))
-        yield text[start:end]
-        start = end
-    yield text[start:]
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """word, n: how often each token stands in ``texts`` (column ``text``, binary), with the texts' ends."""
 
@@ -131,8 +122,16 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = int(sums[0] or 0), int(sums[1])
     leaves = leaves_for(total)
     tails = leaves // TAILS
-    top = counts.orderBy(F.desc("n"), "word").limit(max(KNOWN, leaves)).collect()
-    words, n = [bytes(r["word"]) for r in top], np.array([r["n"] for r in top], np.int64)
+    # words by bins of their counts, from the top, while they are few enough: a sort would send every task's top to the driver
+    size_class = F.floor(F.log2("n") * 8)
+    least, taken = np.inf, 0
+    for r in sorted(counts.groupBy(size_class.alias("bin")).count().collect(), reverse=True):
+        taken += r["count"]
+        if taken > max(KNOWN, leaves):
+            break
+        least = float(r["bin"])
+    top = sorted((-r["n"], bytes(r["word"])) for r in counts.where(size_class >= least).collect())
+    words, n = [w for _, w in top], np.array([-k for k, _ in top], np.int64)
     modelled = min(leaves - tails, len(words))
     last = F.expr("substring(word, greatest(octet_length(word) - 1, 1), 2)")
     size, kinds = np.zeros(tails), np.zeros(tails)
@@ -345,7 +344,7 @@ def fit(texts: DataFrame, v: Vocabulary) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["block", "sums"])
 
         sums = np.zeros((2, blocks * _BLOCK))
-        for r in train.where(F.col("fold") == turn).mapInArrow(counted, schema).repartition(F.col("block")).mapInArrow(added, schema).toLocalIterator():
+        for r in train.where(F.col("fold") == turn).mapInArrow(counted, schema).repartition(F.col("block")).mapInArrow(added, schema).collect():
             found = np.frombuffer(r["sums"], np.int64).reshape(2, -1)
             sums[:, r["block"] * _BLOCK :][:, : found.shape[1]] = found  # each block of weights once: as large as the model
         shared.destroy()

@@ -4,8 +4,11 @@
 gradient-boosted trees with monotonic constraints; ``FlatTrees`` keeps them as numpy node arrays and
 scores matrices.  ``quality_rules`` puts them together.
 
-Cases: a null text is an empty one (no words, fails the base rules); repeated rows are each judged; extra
-columns are ignored; without usable labels every document that passes the base rules is kept.
+Cases: a null text is an empty one (no words, fails the base rules); very long texts count whole; repeated rows are each
+judged, and of rows that share a doc_id one trains, that of the least features; documents labelled both ways train
+nothing; labels are taken in the order of a hash of doc_id, ties by doc_id; an empty table has no verdicts; doc_id may have
+any type; extra columns are ignored, whatever their names; without usable labels every document that passes the base
+rules is kept.
 """
 
 from __future__ import annotations
@@ -102,10 +105,10 @@ def document_statistics(docs: DataFrame) -> DataFrame:
         found = [statistics_of(t) for t in batch.column(1).to_pylist()]
         counts = np.array([x[0] for x in found], np.int64).reshape(-1, len(COUNTS))
         features = pa.array([x[1] for x in found], pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *map(pa.array, counts.T), features], names=["doc_id", *COUNTS, "features"])
+        return pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, counts.T), features], names=["doc_id", *COUNTS, "features"])
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>"
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(per_batch(run), schema)
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS) + ", features array<double>"
+    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(per_batch(run), schema)
 
 
 @dataclass
@@ -193,7 +196,7 @@ def training_labels(labels: DataFrame, most: int, modulus: int = 5) -> DataFrame
     """At most ``most`` documents with one quality label, in the order of a hash, none whose crc32 is a multiple of ``modulus``."""
     one = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (residue("doc_id", modulus) != 0))
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .groupBy(F.col("doc_id").cast("string").alias("doc_id"))
         .agg(F.min("quality").alias("y"), F.max("quality").alias("_y"))
         .where(F.col("y") == F.col("_y"))
     )
@@ -207,7 +210,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most_training_rows: int =
     statistics and scores cover all documents.
     """
     stats = spill(document_statistics(docs), "rules")
-    sample = stats.join(F.broadcast(training_labels(labels, most_training_rows)), "doc_id").select("y", "features").limit(2 * most_training_rows).toPandas()
+    chosen = training_labels(labels, most_training_rows).withColumnRenamed("doc_id", "id")
+    sample = stats.join(F.broadcast(chosen), stats["doc_id"].cast("string") == F.col("id")).groupBy("id", "y").agg(F.min("features").alias("features")).orderBy("id").toPandas()
     trees = None
     if sample["y"].nunique() == 2:
         trees = fit_trees(np.array(sample["features"].tolist(), float), sample["y"].to_numpy(float), list(FEATURES.values()))
@@ -217,6 +221,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, most_training_rows: int =
         score = trees.score(x) if trees else np.ones(len(x))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=["doc_id", *COUNTS, "score"])
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return stats.mapInArrow(per_batch(run), schema).select("doc_id", *COUNTS, failed.alias("base_failed"), (~failed & (F.col("score") >= threshold)).alias("kept"), "score")

@@ -6,9 +6,11 @@ of its bits left out; equality of such a variant finds all pairs that may link,
 With very many fingerprints, more and combined segments keep the index keys selective (``plan_for``);
 every plan finds the same links.
 
-Cases: null and wordless texts have fingerprint zero and link like others; exact copies share one
-fingerprint and meet only in a grouped row; a component whose doc_ids are all null has a null id; repeated
-rows stay in ``near_duplicates``, which ignores extra columns; ``one_of_each`` tells rows apart by an id of their own.
+Cases: null and wordless texts have fingerprint zero and link like others; very long texts count whole, in runs of
+shingles; exact copies share one fingerprint and meet only in a grouped row; a component whose doc_ids are all null has a
+null id; repeated rows stay in ``near_duplicates``, which ignores extra columns; ``one_of_each`` tells rows apart by an id
+of their own, and of equal doc_ids (ties) keeps the first row; an empty table has no groups; doc_id may have any type;
+extra columns pass through ``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations

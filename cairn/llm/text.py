@@ -6,6 +6,8 @@ Plain words are runs of digits, ASCII letters (lower-cased) and bytes above 0x7F
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
@@ -16,6 +18,16 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(_PLAIN).split()
 
 
+def pieces(text: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """The text in pieces of about ``most`` bytes, cut between words."""
+    start = 0
+    while len(text) - start > most:
+        end = min((k for k in (text.find(c, start + most) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) if k >= 0), default=len(text))
+        yield text[start:end]
+        start = end
+    yield text[start:]
+
+
 class WordHashes(dict):
     """Word to its 64-bit hash, remembered for a bounded number of words."""
 

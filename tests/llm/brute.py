@@ -5,8 +5,6 @@ from collections import Counter, defaultdict
 
 import xxhash
 
-from cairn.llm import line_dedup
-
 
 class Union:
     def __init__(self, keys):
@@ -44,7 +42,7 @@ def line_keepers(docs):
     rows = [(d, k, line) for d, t in sorted(docs.items()) for k, line in enumerate(t.split("\n")) if line.encode().strip()]
     lines = list(dict.fromkeys(line for _, _, line in rows))
     number = {line: i for i, line in enumerate(lines)}
-    n = line_dedup.SHINGLE
+    n = 5  # characters of a shingle
     sets = [{line[i : i + n] for i in range(max(1, len(line) - n + 1))} for line in lines]
     held, u = defaultdict(list), Union(range(len(lines)))
     for i, s in enumerate(sets):
