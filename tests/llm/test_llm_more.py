@@ -68,7 +68,7 @@ def test_pipeline_stages_on_odd_tables(spark, tmp_path, labels):
     long = " ".join(sentence(k, 1000) for k in range(300))
     rows = [(1, None), (2, ""), (None, sentence(1)), (None, sentence(2)), (3, sentence(3)), (3, sentence(3)), (3, sentence(4)), (4, long)]
     docs = spark.createDataFrame([(d, t, None, None, None, "x") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _row string")
-    spark.createDataFrame([(1, sentence(99))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, sentence(5000))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     labels.where("false").write.parquet(f"{tmp_path}/labels.parquet")  # so the classifier keeps all
     for name, stage in corpus_pipeline.STAGES:
         out, none = stage(spark, docs, str(tmp_path)), stage(spark, docs.where("false"), str(tmp_path))
