@@ -35,7 +35,7 @@ class Spec:
 
 
 #: Options that each codec takes.
-OPTIONS = {"null": set(), "lz4": set(), "lz4hc": {"level"}, "zstd": {"level", "long"}, "lzma": {"level", "extreme"}, "brotli": {"quality"}, "ricepp": {"block_size", "components", "bits"}}
+OPTIONS = {"null": set(), "lz4": set(), "lz4hc": {"level"}, "zstd": {"level", "long"}, "lzma": {"level", "extreme"}, "brotli": {"quality"}, "ricepp": {"block_size", "components"}}
 
 
 def parse(text: str) -> Spec:
@@ -55,7 +55,7 @@ def parse(text: str) -> Spec:
 
 
 def _arrow(name: str, level: int | None) -> tuple[Callable, Callable]:
-    codec = pa.Codec(name, compression_level=level) if level is not None and name not in ("lz4", "lz4_raw", "snappy") else pa.Codec(name)
+    codec = pa.Codec(name, compression_level=level) if level is not None else pa.Codec(name)
 
     def pack(b: bytes) -> bytes:
         return struct.pack("<q", len(b)) + codec.compress(b, asbytes=True)
@@ -67,13 +67,26 @@ def _arrow(name: str, level: int | None) -> tuple[Callable, Callable]:
     return pack, unpack
 
 
+def _long(level: int) -> tuple[Callable, Callable]:
+    """Zstandard that looks for matches at long distances."""
+    import zstandard
+
+    def pack(b: bytes) -> bytes:
+        options = zstandard.ZstdCompressionParameters.from_level(level, enable_ldm=True, window_log=27)
+        return zstandard.ZstdCompressor(compression_params=options).compress(b)
+
+    return pack, lambda b: zstandard.ZstdDecompressor(max_window_size=1 << 27).decompress(b)
+
+
 def functions(spec: Spec) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
     """Compress and decompress."""
     level = int(spec.get("level") or spec.get("quality") or 0) or None
     if spec.name == "null":
         return (lambda b: b), (lambda b: b)
     if spec.name in ("lz4", "lz4hc"):
-        return _arrow("lz4_raw", None)
+        return _arrow("lz4_raw", (level or 9) if spec.name == "lz4hc" else None)
+    if spec.name == "zstd" and spec.get("long") is not None:
+        return _long(level or 3)
     if spec.name in ("zstd", "brotli"):
         return _arrow(spec.name, level)
     if spec.name == "lzma":
@@ -82,8 +95,8 @@ def functions(spec: Spec) -> tuple[Callable[[bytes], bytes], Callable[[bytes], b
     if spec.name == "ricepp":
         from .rice import decode, encode
 
-        size, parts, bits = (int(spec.get(k) or v) for k, v in (("block_size", 128), ("components", 1), ("bits", 16)))
-        return (lambda b: encode(b, size, parts, bits)), decode
+        size, parts = (int(spec.get(k) or v) for k, v in (("block_size", 128), ("components", 1)))
+        return (lambda b: encode(b, size, parts)), decode
     raise CodecError(f"no library for {spec.name}")
 
 

@@ -18,7 +18,7 @@ FRAGMENTS = T.ArrayType(T.StructType([T.StructField("category", T.StringType()),
 ELF_MACHINES = {3: "x86", 40: "arm", 62: "x86_64", 183: "aarch64", 243: "riscv", 8: "mips", 21: "ppc64", 22: "s390"}
 PE_MACHINES = {0x14C: "x86", 0x8664: "x86_64", 0x1C0: "arm", 0xAA64: "aarch64"}
 MACHO_MACHINES = {7: "x86", 0x01000007: "x86_64", 12: "arm", 0x0100000C: "aarch64"}
-_CODEC = pa.Codec("zstd", compression_level=1)
+_CODEC = pa.Codec("zstd", compression_level=-1)
 
 
 def _rest(parts: list[tuple[str, str | None, int]], size: int):
@@ -26,10 +26,13 @@ def _rest(parts: list[tuple[str, str | None, int]], size: int):
     return [p for p in [*parts, ("default", None, size - used)] if p[2] > 0]
 
 
-def incompressible(data: bytes, block: int = 1 << 20, least: int = 256, ratio: float = 0.99):
-    """Runs of blocks that hardly shrink; nothing if all is compressible or small."""
+def incompressible(data: bytes, block: int = 1 << 20, least: int = 256, ratio: float = 0.99, whole: bool = False):
+    """Runs of blocks that hardly shrink, or all if it hardly shrinks as a ``whole``; nothing if all is compressible or small."""
     if len(data) < least:
         return []
+    if whole:
+        packed = sum(len(_CODEC.compress(data[at : at + block], asbytes=True)) for at in range(0, len(data), block))
+        return [("incompressible", None, len(data))] if packed >= ratio * len(data) else []
     runs: list[list] = []
     for at in range(0, len(data), block):
         part = data[at : at + block]
@@ -184,10 +187,10 @@ REGISTRY = {"pcmaudio": lambda b: wav(b) or aiff(b) or caf(b), "fits": fits, "bi
 SEQUENTIAL = {"incompressible"}
 
 
-def categorize(data: bytes, order: list[str]) -> list[tuple[str, str | None, int]]:
+def categorize(data: bytes, order: list[str], **options) -> list[tuple[str, str | None, int]]:
     """Fragments of the first categorizer in order that knows the content.
 
-    Random-access ones are asked first, and sequential ones only if listed before the one that answered.
+    Random-access ones are asked first, and sequential ones (with ``options``) only if listed before the one that answered.
     """
     answer, at = [], len(order)
     for k, name in enumerate(order):
@@ -195,15 +198,15 @@ def categorize(data: bytes, order: list[str]) -> list[tuple[str, str | None, int
             at = k
             break
     for name in order[:at]:
-        if name in SEQUENTIAL and (found := REGISTRY[name](data)):
+        if name in SEQUENTIAL and (found := REGISTRY[name](data, **options)):
             return found
     return answer or ([("default", None, len(data))] if data else [])
 
 
-def categorized(order: list[str]):
+def categorized(order: list[str], **options):
     @F.pandas_udf(FRAGMENTS)
     def run(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: [{"category": c, "sub": s, "length": n} for c, s, n in categorize(b or b"", order)])
+        return content.map(lambda b: [{"category": c, "sub": s, "length": n} for c, s, n in categorize(b or b"", order, **options)])
 
     return run
 

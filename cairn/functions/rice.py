@@ -18,7 +18,7 @@ def best_split(z: np.ndarray) -> tuple[int, int]:
     return k, sizes[k]
 
 
-def encode(data: bytes, block: int = 128, components: int = 1, bits: int = 16) -> bytes:
+def encode(data: bytes, block: int = 128, components: int = 1) -> bytes:
     """A header of length, block size, components; then for each block five bits of split and its samples, or 31 and raw samples."""
     tail = data[len(data) - len(data) % 2 :]
     v = np.frombuffer(data[: len(data) - len(tail)], "<u2").astype(np.int64)

@@ -51,15 +51,20 @@ def simple_fold(text: pd.Series) -> pd.Series:
 
 
 def shortened(path: str, most: int = 24, separator: str = "/") -> str:
-    """A path of at most ``most`` columns: components are dropped from the front, then characters, after an ellipsis."""
+    """A path of at most ``most`` columns.
+
+    An ellipsis stands for the components that must go from the front; a last component that is too long still keeps
+    its front, and a second ellipsis stands for its end.
+    """
     if width_of(path) <= most:
         return path
-    rest = path
-    while width_of(rest) + 3 > most and separator in rest[1:]:
-        rest = rest[rest.index(separator, 1) :]
-    while rest and width_of(rest) + 3 > most:
-        rest = rest[1:]
-    return "..." + rest
+    if most < 3:
+        return ""
+    tails = [path, *(path[k:] for k, c in enumerate(path) if k and c == separator)]
+    short = "..." + next((t for t in tails if width_of(t) <= most - 3), tails[-1])
+    if width_of(short) <= most:
+        return short
+    return cut_to_width(short, most - 3) + "..." if most >= 7 else "..."
 
 
 @F.pandas_udf(T.StringType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,20 +14,31 @@ def distance(a, b) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def flips(width: int, most: int) -> list[int]:
+    """Masks of all ways to change at most ``most`` of ``width`` bits."""
+    return [sum(1 << b for b in chosen) for n in range(most + 1) for chosen in combinations(range(width), n)]
+
+
 def within(df: DataFrame, other: DataFrame, most: int, key: str = "vec_id", bits: str = "bits") -> DataFrame:
     """Pairs (a, b, distance) at most ``most`` bits apart.
 
-    Cut into ``most + 1`` bands, two such vectors have an equal band: an equality join on bands finds all pairs.
+    Of a few segments of a vector's bits one differs in at most its share of ``most``.  So the vectors of ``other`` are
+    indexed by each segment with that many bits changed in every way, and an equality join finds all pairs; segments
+    have 16 bits or more, so keys tell vectors apart.
     """
-    bands = most + 1
-    width = -(-64 // bands)
-
-    def banded(d: DataFrame, id_: str, v: str) -> DataFrame:
-        parts = [F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(bits), k * width).bitwiseAND(F.lit((1 << width) - 1 if width < 63 else -1)).alias("p")) for k in range(bands)]
-        return d.select(F.col(key).alias(id_), F.col(bits).alias(v), F.explode(F.array(*parts)).alias("band"))
-
-    left, right = banded(df, "a", "va"), banded(other, "b", "vb")
-    near = left.join(right, "band").where(distance("va", "vb") <= most)
+    parts = min(most + 1, 4)
+    width = 64 // parts
+    changed = flips(width, most // parts)
+    low = F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
+    cut = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.col(bits), k * width).bitwiseAND(low).alias("p")) for k in range(parts)))
+    left = df.select(F.col(key).alias("a"), F.col(bits).alias("va"), F.explode(cut).alias("segment"))
+    right = other.select(F.col(key).alias("b"), F.col(bits).alias("vb"), F.explode(cut).alias("s"))
+    if most // parts:
+        right = right.select("b", "vb", "s", F.explode(F.lit(changed).cast("array<long>")).alias("m"))
+        right = right.select("b", "vb", F.struct(F.col("s.k").alias("k"), F.col("s.p").bitwiseXOR(F.col("m")).alias("p")).alias("segment"))
+    else:
+        right = right.withColumnRenamed("s", "segment")
+    near = left.join(right, "segment").where(distance("va", "vb") <= most)
     return near.select("a", "b", distance("va", "vb").cast("long").alias("distance")).distinct()
 
 

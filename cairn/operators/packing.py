@@ -18,7 +18,7 @@ def stream_offsets(chunks: DataFrame, stream: str, order: list[str], size: str =
     before = Window.partitionBy(stream).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_part", stream, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
     within = Window.partitionBy("_part", stream).orderBy(*order)
-    out = parts.join(F.broadcast(offsets), ["_part", stream])
+    out = parts.join(offsets, ["_part", stream])
     out = out.withColumn("high", F.sum(size).over(within) + F.col("_o"))
     return out.withColumn("low", F.col("high") - F.col(size)).drop("_part", "_o")
 

@@ -43,11 +43,19 @@ class Config:
         return (1 << self.block_bits) - (1 << self.block_bits) % self.granularity
 
 
-def memory_estimate(c: Config) -> int:
-    """Bytes that a stream's index takes at most: offsets of the active blocks and their filters."""
-    offsets = (1 << c.block_bits) // c.step if c.window else 0
-    bloom = 1 << max(6, offsets.bit_length() + 4) if offsets else 0
-    return c.lookback * (offsets * 19 + (bloom // 8 if c.lookback > 1 else 0)) + bloom // 8
+def memory_estimate(c: Config, bloom_bits: int = 4) -> int:
+    """Bytes that a stream's index takes at most: window hashes of the active blocks at 19 bytes each, and the filters.
+
+    A filter has ``2 ** bloom_bits`` bits for each window of all blocks together, whose number is rounded up to a power
+    of two; with several blocks each has one, besides the common one.
+    """
+    if not c.lookback or not c.window:
+        return 0
+    frames = (1 << c.block_bits) // c.granularity
+    places = (frames - c.window + c.step) // c.step
+    windows = c.lookback * (frames // c.step)
+    bloom = (1 << bloom_bits + max(windows - 1, 0).bit_length()) // 8
+    return c.lookback * (19 * places + (bloom if c.lookback > 1 else 0)) + bloom
 
 
 @dataclass

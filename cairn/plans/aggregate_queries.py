@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.units import bit_width
 from ..operators import dedup, hamming
+from ..operators.sketches import exact_quantiles
 from ..sources.content import CHUNKS, ENTRIES, TREE, VECTORS, chunks, entries, table, trace, tree, vectors
 from .registry import query
 from .scan_queries import UP
@@ -67,10 +68,12 @@ def a08(spark, d):
     return f.agg(*exact, F.max("n").alias("most"), F.max("blocks").alias("most_blocks")).join(m)  # one row each
 
 
+QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
 @query("a09_quantiles", "SELECT event_type, quantile_disc(user_id, 0.5) AS p50, quantile_disc(user_id, 0.9) AS p90, quantile_disc(user_id, 0.99) AS p99 FROM events GROUP BY event_type")
 def a09(spark, d):
-    exact = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY user_id)").cast("long").alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))]
-    return table(spark, d, "events").groupBy("event_type").agg(*exact)
+    return exact_quantiles(table(spark, d, "events"), "event_type", "user_id", QUANTILES)
 
 
 @query("a09_quantile_sketch")
@@ -93,8 +96,8 @@ def a11(spark, d):
 @query("a12_latency_summary", "SELECT event_type, count(*) AS samples, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS total, quantile_disc(CAST(round(value * 100) AS BIGINT), 0.5) AS p50, quantile_disc(CAST(round(value * 100) AS BIGINT), 0.9) AS p90, quantile_disc(CAST(round(value * 100) AS BIGINT), 0.99) AS p99 FROM events GROUP BY event_type")
 def a12(spark, d):
     v = table(spark, d, "events").select("event_type", F.round(F.col("value") * 100).cast("long").alias("v"))
-    exact = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY v)").cast("long").alias(n) for p, n in ((0.5, "p50"), (0.9, "p90"), (0.99, "p99"))]
-    return v.groupBy("event_type").agg(F.count("*").alias("samples"), F.sum("v").alias("total"), *exact)
+    sums = v.groupBy("event_type").agg(F.count("*").alias("samples"), F.sum("v").alias("total"))
+    return sums.join(exact_quantiles(v, "event_type", "v", QUANTILES), "event_type")
 
 
 @query("a13_top_buckets", "SELECT lang, bucket, n, rank FROM (SELECT lang, length(text) % 16 AS bucket, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, length(text) % 16) AS rank FROM documents GROUP BY lang, length(text) % 16) WHERE rank <= 4")
@@ -138,13 +141,22 @@ def a19(spark, d):
     return scan_tree(tree(spark, d)).groupBy("parent").agg(F.count("*").alias("children"))
 
 
-@query("t01_rate", "SELECT event_id, CASE WHEN count(*) OVER w < 2 OR max(event_id) OVER w = min(event_id) OVER w THEN 0.0 ELSE (event_id - first_value(event_id) OVER w) / (epoch_us(ts) - epoch_us(first_value(ts) OVER w)) END AS rate FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")
+#: Microseconds of the rate's window.
+_RATE_WINDOW = 6 * 3_600_000_000
+
+
+@query(
+    "t01_rate",
+    f"""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS us FROM events),
+f AS (SELECT event_id, us, min({{'us': us, 'n': event_id}}) OVER (PARTITION BY event_type ORDER BY us RANGE BETWEEN {_RATE_WINDOW} PRECEDING AND CURRENT ROW) AS first FROM e)
+SELECT event_id, CASE WHEN (us - first.us) // 1000 > 0 THEN (1000 * (event_id - first.n)) // ((us - first.us) // 1000) ELSE 0 END AS rate FROM f""",
+)
 def t01(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(-4, 0)
-    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    e = trace(spark, d).withColumn("us", us("ts"))
-    rate = (F.col("event_id") - F.first("event_id").over(w)) / (F.col("us") - F.first("us").over(w)).cast("double")
-    return e.select("event_id", F.when(F.count("*").over(w) < 2, 0.0).otherwise(rate).alias("rate"))
+    e = trace(spark, d).select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-_RATE_WINDOW, 0)
+    first = e.withColumn("first", F.min(F.struct("us", "event_id")).over(w))
+    elapsed = F.expr("(us - first.us) div 1000")
+    return first.select("event_id", F.when(elapsed > 0, F.expr("(1000 * (event_id - first.event_id)) div ((us - first.us) div 1000)")).otherwise(0).alias("rate"))
 
 
 @query("t02_sequential_access", "SELECT user_id, event_id, b = 1 + lag(b) OVER w AND lag(b) OVER w = 1 + lag(b, 2) OVER w AS sequential FROM (SELECT user_id, event_id, ts, event_id // 150 AS b FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

@@ -151,7 +151,7 @@ def j17(spark, d):
 def j18(spark, d):
     c = chunks(spark, d)
     b = numbered(c.select("category", "block").distinct(), ["category", "block"], "physical")
-    return c.join(F.broadcast(b), ["category", "block"]).select("file", "ord", "physical")
+    return c.join(b, ["category", "block"]).select("file", "ord", "physical")
 
 
 @query("j19_hardlinks", "SELECT c_nationkey AS dev, c_custkey % 50 AS ino, count(*) AS links, min(c_name) AS first_path FROM customer GROUP BY ALL")

@@ -34,8 +34,10 @@ BODY = "x AS (SELECT doc_id AS file, k // 100 AS ord, k AS \"offset\", substr(te
 @query("q03_read", "SELECT doc_id AS file, substr(text, CAST(doc_id % 70 AS INTEGER) + 1, 240) AS bytes FROM documents WHERE length(text) > doc_id % 70")
 def q03(spark, d):
     docs = table(spark, d, "documents").where(F.length("text") > 0)
-    at = F.sequence(F.lit(0), F.length("text") - 1, F.lit(100))
-    parts = docs.select(F.col("doc_id").alias("file"), "text", F.explode(at).alias("offset")).select("file", F.col("offset").cast("long").alias("offset"), F.substring(F.col("text"), F.col("offset") + 1, F.lit(100)).alias("part"))
+    # of each text only the parts that the request meets are cut out, so a read costs what it asks for
+    docs = docs.where("length(text) > doc_id % 70")
+    at = F.sequence(F.floor(F.col("doc_id") % 70 / 100) * 100, F.least(F.length("text") - 1, F.col("doc_id") % 70 + 239), F.lit(100).cast("long"))
+    parts = docs.select(F.col("doc_id").alias("file"), F.substring("text", 1, 70 + 240 + 100).alias("text"), F.explode(at.cast("array<int>")).alias("offset")).select("file", F.col("offset").cast("long").alias("offset"), F.substring(F.col("text"), F.col("offset") + 1, F.lit(100)).alias("part"))
     asked = docs.select(F.col("doc_id").alias("file"), (F.col("doc_id") % 70).alias("start"), F.lit(240).alias("length"))
     return reading.read_ranges(parts, asked)
 

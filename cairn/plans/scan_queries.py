@@ -68,10 +68,12 @@ def s08(spark, d):
 )
 def s09(spark, d):
     docs = table(spark, d, "documents").where(F.length("text") > 0)
-    at = F.sequence(F.lit(0), F.greatest(F.length("text") - 64, F.lit(1)) - 1, F.lit(960))
-    pieces = docs.select("doc_id", "text", F.explode(at).alias("k"))
-    piece = F.substring(F.col("text"), F.col("k") + 1, F.lit(1024))
-    return pieces.select("doc_id", F.col("k").cast("long").alias("offset"), F.length(piece).cast("long").alias("length"), F.md5(piece.cast("binary")).alias("digest"))
+    # one pass over a text gives its strides of 960 characters and the 64 after each
+    stride = F.lit(r"(?s)(.{1,960})(?=(.{0,64}))")
+    pairs = F.arrays_zip(F.regexp_extract_all("text", stride, 1).alias("own"), F.regexp_extract_all("text", stride, 2).alias("more"))
+    pieces = docs.select("doc_id", F.greatest(F.length("text") - 64, F.lit(1)).alias("end"), F.posexplode(pairs).alias("k", "p")).where("k * 960 < end")
+    piece = F.concat("p.own", "p.more")
+    return pieces.select("doc_id", (F.col("k") * 960).cast("long").alias("offset"), F.length(piece).cast("long").alias("length"), F.md5(piece.cast("binary")).alias("digest"))
 
 
 @query("s11_hollow", f"WITH {ENTRIES} SELECT ino, size, 'hole' AS kind, 0 AS allocated FROM e")
@@ -230,9 +232,26 @@ def f06(spark, d):
     return T.without_empty_dirs(nodes)
 
 
-@query("f07_debug_filter", f"WITH {ENTRIES} SELECT CASE WHEN {_rules_sql('path')} THEN '+ ' ELSE '- ' END || path AS line FROM e")
+#: Mode: kept entries, dropped entries, directories, marks.
+_DEBUG = {"included": (1, 0, 1, 0), "excluded": (0, 1, 1, 0), "all": (1, 1, 1, 1), "included-files": (1, 0, 0, 0), "excluded-files": (0, 1, 0, 0), "files": (1, 1, 0, 1)}
+
+
+@query(
+    "f07_debug_filter",
+    f"""WITH {ENTRIES}, x AS (SELECT path, false AS dir, {_rules_sql('path')} AS keep FROM e UNION ALL SELECT path, true, {_rules_sql('path')} FROM (SELECT DISTINCT parent AS path FROM e)),
+m AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {', '.join(map(str, v))})" for m, v in _DEBUG.items())}) AS m(mode, kept, dropped, dirs, marks))
+SELECT mode, CASE WHEN marks = 0 THEN '' WHEN keep THEN '+ ' ELSE '- ' END || path AS line FROM x JOIN m ON (CASE WHEN keep THEN kept ELSE dropped END) = 1 AND (dirs = 1 OR NOT dir)""",
+)
 def f07(spark, d):
-    return entries(spark, d).select(F.concat(F.when(globbing.kept_by(F.col("path"), globbing.parse_rules(_RULES)), "+ ").otherwise("- "), "path").alias("line"))
+    e = entries(spark, d)
+    both = e.select("path", F.lit(False).alias("dir")).unionAll(e.select(F.col("parent").alias("path"), F.lit(True).alias("dir")).distinct())
+    both = both.withColumn("keep", globbing.kept_by(F.col("path"), globbing.parse_rules(_RULES)))
+    shown = [
+        F.when((F.col("keep") if kept and not dropped else ~F.col("keep") if dropped and not kept else F.lit(True)) & (F.lit(bool(dirs)) | ~F.col("dir")),
+               F.struct(F.lit(mode).alias("mode"), F.concat(F.when(F.col("keep"), "+ ").otherwise("- ") if marks else F.lit(""), "path").alias("line")))
+        for mode, (kept, dropped, dirs, marks) in _DEBUG.items()
+    ]
+    return both.select(F.explode(F.array_compact(F.array(*shown))).alias("x")).select("x.mode", "x.line")
 
 
 @query(

@@ -176,4 +176,33 @@ def test_container_behind_header_and_broken():
 def test_texts():
     assert width_of("a日é") == 4 and cut_to_width("日本語", 5) == "日本"
     assert fold_char("ẞ") == "ß" and fold_char("ß") == "ß" and fold_char("A") == "a"
-    assert len(shortened("/a/very/long/path/with/many/components.txt")) <= 24 and shortened("/short") == "/short"
+
+
+@pytest.mark.parametrize(
+    ("path", "most", "expected"),
+    [
+        ("/short", 24, "/short"), ("/a/very/long/path/with/many/components.txt", 24, ".../many/components.txt"), ("/a/very/long/path/with/many/components.txt", 18, ".../components.txt"),
+        ("/a/very/long/path/with/many/components.txt", 14, ".../compone..."), ("/foo/bar/baz", 8, ".../baz"), ("/foo/bar/baz", 7, ".../baz"), ("/foo/bar/bazaar", 7, ".../..."), ("/foo/bar/bazaar", 6, "..."), ("/foo/bar", 2, ""), ("name-without-parts", 10, "...name..."),
+    ],
+)
+def test_shortened(path, most, expected):
+    assert shortened(path, most) == expected and len(expected) <= max(most, 0)
+
+
+def test_codec_levels_and_windows():
+    text = b"".join(b"%d-%d;" % (k * k % 977, k % 31) for k in range(20_000))
+    size = {spec: len(codecs.functions(codecs.parse(spec))[0](text)) for spec in ("lz4", "lz4hc:level=9", "zstd:level=3", "zstd:level=3:long")}
+    assert size["lz4hc:level=9"] < size["lz4"]
+    block = np.random.default_rng(4).integers(0, 256, 1 << 20, dtype=np.uint8).tobytes()
+    far = block + bytes(9 << 20) + block  # the repeat lies beyond the window of the level
+    packed = {spec: codecs.functions(codecs.parse(spec)) for spec in ("zstd:level=1", "zstd:level=1:long")}
+    near, long = (len(pack(far)) for pack, _ in packed.values())
+    assert long < 0.6 * near and packed["zstd:level=1:long"][1](packed["zstd:level=1:long"][0](far)) == far
+    with pytest.raises(codecs.CodecError):
+        codecs.parse("ricepp:bits=12")
+
+
+def test_incompressible_as_a_whole():
+    noise = np.random.default_rng(3).integers(0, 256, 8192, dtype=np.uint8).tobytes()
+    assert formats.incompressible(noise, whole=True) == [("incompressible", None, 8192)]
+    assert formats.incompressible(noise + b"a" * 8192, block=8192, whole=True) == [] and formats.incompressible(noise + b"a" * 8192, block=8192) != []

@@ -103,3 +103,31 @@ def test_files_there_and_back(spark, tmp_path):
     assert extract(files, f"{tmp_path}/out") == 3 and (tmp_path / "out/a/b/y.bin").read_bytes() == b"\0\1"
     names = [m.name for r in archives(files, 2).collect() for m in tarfile.open(fileobj=io.BytesIO(r["archive"])).getmembers()]
     assert sorted(names) == ["a/b/y.bin", "a/x.txt", "z.txt"]
+
+
+def test_hamming_join_by_brute_force(spark):
+    import random
+
+    from cairn.operators import hamming
+
+    r = random.Random(2)
+    base = [r.getrandbits(64) for _ in range(30)]
+    rows = [x ^ sum(1 << b for b in r.sample(range(64), k)) for x in base for k in (0, 2, 3, 5, 9, 12, 13, 15)]
+    signed = [x - (1 << 64) if x >> 63 else x for x in rows]
+    v = spark.createDataFrame(list(enumerate(signed)), "vec_id long, bits long")
+    for most in (0, 1, 2, 3, 7, 12):
+        got = {(x["a"], x["b"], x["distance"]) for x in hamming.within(v, v, most).where("a < b").collect()}
+        assert got == {(i, j, d) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (d := (rows[i] ^ rows[j]).bit_count()) <= most}
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    from cairn.operators.sketches import exact_quantiles
+
+    r = random.Random(3)
+    rows = [(g, r.randrange(40) if g else 7) for g in range(5) for _ in range(1 + 37 * g)] + [(1, None)]
+    got = {x["g"]: (x["a"], x["b"]) for x in exact_quantiles(spark.createDataFrame(rows, "g long, v long"), "g", "v", {"a": 0.5, "b": 0.99}).collect()}
+    for g in range(5):
+        v = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[g] == tuple(next(x for i, x in enumerate(v) if i + 1 >= p * len(v)) for p in (0.5, 0.99))
