@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import forget, fresh, numbered, per_batch, slices, small_or_shuffled, spill, text_bytes
-from .text import mixed
+from .text import mixed, repeated
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Short shingles are shared by chance, so a band has many rows: lines alike by chance seldom meet, and the index and
@@ -123,11 +123,12 @@ def occurrences(docs: DataFrame, row: str | None = None) -> DataFrame:
 
 
 def buckets(docs: DataFrame, lines: int) -> DataFrame:
-    """(bucket, part, s): the short digests of every band key that several of the ``lines`` distinct lines share.
+    """(deal, bucket, part, s): the short digests of every band key that several of the ``lines`` distinct lines share.
 
     A task indexes a line once.  Index entries travel in blocks, one for each part of the key space, and the parts
     grow with the number of lines, so a task's table has about ``_TASK`` entries.  The same set of lines under
-    several keys is one bucket; a large bucket is repeated for pairs of its blocks.
+    several keys is one bucket; a large bucket is repeated for pairs of its blocks.  ``deal`` is the least member of a
+    small bucket: buckets that have it in common hold much the same lines, and a task that has them all reads each once.
     """
     spark = docs.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines * BANDS // _TASK))
@@ -166,8 +167,9 @@ def buckets(docs: DataFrame, lines: int) -> DataFrame:
 
     def shared(entries: list[bytes]):
         keys, ids = np.frombuffer(b"".join(entries), np.int64).reshape(-1, 2).T
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
+        keys, ids = repeated(keys, ids)
+        if not len(keys):
+            return
         new = np.append(True, (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]))
         keys, ids = keys[new], ids[new]
         starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
@@ -187,8 +189,8 @@ def buckets(docs: DataFrame, lines: int) -> DataFrame:
                 blocks = [members[i : i + MOST_TOGETHER] for i in range(0, len(members), MOST_TOGETHER)]
                 pairs = ((i, j) for i in range(len(blocks)) for j in range(i, len(blocks)) if j > i or len(blocks) == 1)
                 for part, (i, j) in enumerate(pairs):
-                    out.append((name, part, blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]])))
-                    size += len(out[-1][2])
+                    out.append((members[0] if len(members) <= 64 else name, name, part, blocks[i] if i == j else np.concatenate([blocks[i], blocks[j]])))
+                    size += len(out[-1][3])
                     if size > 50_000:
                         yield rows(out)
                         out, size = [], 0
@@ -196,18 +198,22 @@ def buckets(docs: DataFrame, lines: int) -> DataFrame:
             yield rows(out)
 
     def rows(out):
-        sizes = [len(r[2]) for r in out]
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat([r[0] for r in out], sizes)), pa.array(np.repeat([r[1] for r in out], sizes)), pa.array(np.concatenate([r[2] for r in out]))], names=["bucket", "part", "s"])
+        sizes = [len(r[3]) for r in out]
+        named = [pa.array(np.repeat([r[k] for r in out], sizes)) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*named, pa.array(np.concatenate([r[3] for r in out]))], names=["deal", "bucket", "part", "s"])
 
     index = docs.select(text_bytes().alias("text")).mapInArrow(indexed, "p int, entries binary")
-    return index.repartition(tasks, F.col("p")).mapInArrow(emitted, "bucket long, part long, s long").distinct()
+    return index.repartition(tasks, F.col("p")).mapInArrow(emitted, "deal long, bucket long, part long, s long").distinct()
 
 
 def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each line."""
     out: list[np.ndarray] = []
     for a, b in slices(lines):
         hashes, starts = shingle_hashes(lines[a:b])
-        out += [np.unique(s) for s in np.split(hashes, starts[1:])]
+        for s in np.split(hashes, starts[1:]):
+            s.sort()
+            out.append(s[np.append(True, s[1:] != s[:-1])])
     return out
 
 
@@ -275,9 +281,9 @@ def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
-    joined = members.join(texts, "s").select("bucket", "part", "h", "line")
+    joined = members.join(texts, "s").select("bucket", "part", "h", "line", "deal")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // 20_000)
-    return joined.repartition(tasks, "bucket", "part").mapInArrow(verified, "a binary, b binary")
+    return joined.repartition(tasks, "deal", "part").drop("deal").mapInArrow(verified, "a binary, b binary")
 
 
 def line_components(docs: DataFrame, row: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -136,12 +136,14 @@ class Vocabulary:
 
     def encode_segment(self, segment: str) -> bytes:
         """Little-endian 32-bit ids of a segment."""
-        stream, out = Stream(self), bytearray()
+        stream, out = Stream(self), []
         for at in range(0, len(segment), _WINDOW):
             ids = stream.feed(segment[at : at + _WINDOW].replace(MARK, _LITERAL).replace(" ", MARK))
-            out += struct.pack(f"<{len(ids)}i", *ids)
+            if ids:
+                out.append(struct.pack(f"<{len(ids)}i", *ids))
         ids = stream.finish()
-        return bytes(out) + struct.pack(f"<{len(ids)}i", *ids)
+        out.append(struct.pack(f"<{len(ids)}i", *ids))
+        return b"".join(out)
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "older": {}, "apart": {}}

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .runtime import fresh, numbered, per_batch, small_or_shuffled, spill, text_bytes
+from .text import repeated
 
 MOST_BITS = 4
 _CHUNK = 1 << 18
@@ -103,8 +104,7 @@ def _forest(members: np.ndarray) -> list[tuple[int, int]]:
 
 def bucket_links(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within the runs of equal keys: every pair of small runs is tested, larger ones are searched."""
-    order = np.lexsort((values, keys))
-    keys, values = keys[order], values[order]
+    keys, values = repeated(keys, values)
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, int)
     sizes = np.diff(np.append(starts, len(keys)))
     small = np.repeat(sizes <= 16, sizes)

@@ -48,3 +48,14 @@ def mixed(h: np.ndarray) -> np.ndarray:
     """A finaliser over 64-bit values (multiply and fold)."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(29))
+
+
+def repeated(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries whose key is there more than once, by key, then value.  Most keys are alone, so only the rest is sorted by both."""
+    order = np.argsort(keys)
+    keys, values = keys[order], values[order]
+    same = keys[1:] == keys[:-1]
+    several = np.append(False, same) | np.append(same, False) if len(keys) else np.zeros(0, bool)
+    keys, values = keys[several], values[several]
+    order = np.lexsort((values, keys))
+    return keys[order], values[order]
