@@ -13,6 +13,27 @@ def check_sections(sections: DataFrame) -> DataFrame:
     return sections.withColumn("intact", F.sha2("payload", 256).eqNullSafe(F.col("digest")))
 
 
+#: Kinds of which an image may hold several sections.
+MANY = ("block", "history")
+
+
+def section_errors(sections: DataFrame, level: str = "checksum") -> DataFrame:
+    """(error, number) of sections (number, kind, payload, fast, digest) at a level.
+
+    ``checksum`` compares the fast digest (64-bit xxHash), ``integrity`` and ``full`` the SHA-256; ``full`` belongs with
+    ``metadata.consistency``.  Of a kind that must be single each damage-free section after the first by number is a duplicate, as one that is
+    damaged is an error already.
+    """
+    if level not in ("checksum", "integrity", "full"):
+        raise ValueError(f"no such level: {level}")
+    sound = F.xxhash64("payload").eqNullSafe(F.col("fast")) if level == "checksum" else F.sha2("payload", 256).eqNullSafe(F.col("digest"))
+    checked = sections.select("number", "kind", sound.alias("sound"))
+    single = checked.where(F.col("sound") & ~F.col("kind").isin(*MANY))
+    first = single.groupBy("kind").agg(F.min("number").alias("_first"))
+    repeated_kinds = single.join(first, "kind").where("number > _first").select(F.lit("duplicate").alias("error"), "number")
+    return checked.where(~F.col("sound")).select(F.lit("damaged").alias("error"), "number").unionByName(repeated_kinds)
+
+
 def dangling(rows: DataFrame, targets: DataFrame, key: str) -> DataFrame:
     """Ids of rows whose key no target has."""
     return rows.join(targets.select(key).distinct(), key, "left_anti").select("id")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -93,27 +96,70 @@ def q11(spark, d):
     return chunks(spark, d).where("category = 'A'").select("category", "block").distinct()
 
 
-@query("q12_section_check", "SELECT source, count(*) AS sections, count(*) FILTER (WHERE doc_id % 100 = 7) AS broken FROM documents GROUP BY source")
+@query(
+    "q12_section_check",
+    """WITH s AS (SELECT doc_id, CASE doc_id % 100 WHEN 11 THEN 'metadata' WHEN 12 THEN 'history' ELSE 'block' END AS kind FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY doc_id) AS k FROM s)
+SELECT level, error, doc_id AS number FROM n, (VALUES ('checksum'), ('integrity')) AS l(level), (VALUES ('damaged'), ('duplicate')) AS x(error)
+WHERE error = 'duplicate' AND kind = 'metadata' AND k > 1 OR error = 'damaged' AND (doc_id % 100 = 7 OR doc_id % 100 = 8 AND level = 'integrity')""",
+)
 def q12(spark, d):
-    s = table(spark, d, "documents").select("source", F.col("doc_id").alias("number"), F.col("text").cast("binary").alias("payload"))
-    stored = F.when(F.col("number") % 100 == 7, F.sha2(F.concat("payload", F.lit("!").cast("binary")), 256)).otherwise(F.sha2("payload", 256))
-    checked = checking.check_sections(s.withColumn("digest", stored))
-    return checked.groupBy("source").agg(F.count("*").alias("sections"), F.count_if(~F.col("intact")).alias("broken"))
+    """One document a section: of every hundred one has both digests wrong, one only the strong one; one is metadata, of which an image has one."""
+    k = F.col("number") % 100
+    kind = F.when(k == 11, "metadata").when(k == 12, "history").otherwise("block")
+    s = table(spark, d, "documents").select(F.col("doc_id").alias("number"), F.coalesce("text", F.lit("")).cast("binary").alias("payload")).withColumn("kind", kind)
+    other = F.concat("payload", F.lit("!").cast("binary"))
+    s = s.withColumns({"fast": F.xxhash64(F.when(k == 7, other).otherwise(F.col("payload"))), "digest": F.sha2(F.when(k.isin(7, 8), other).otherwise(F.col("payload")), 256)})
+    found = [checking.section_errors(s, level).select(F.lit(level).alias("level"), "error", "number") for level in ("checksum", "integrity")]
+    return found[0].unionByName(found[1])
+
+
+_META = f"""{ENTRIES}, d AS (SELECT '' AS path UNION SELECT '/' || lang FROM documents UNION SELECT parent FROM e), k AS (SELECT (SELECT count(*) FROM d) AS dirs, (SELECT count(*) FROM e) AS files),
+nodes AS (SELECT lang AS name FROM documents UNION SELECT source FROM documents UNION SELECT name FROM e), z AS (SELECT CAST(ceil(sum(size) / 65536) AS BIGINT) + count(*) AS most FROM e),
+f AS (SELECT path, size, CAST(sum(size) OVER (ORDER BY path) AS BIGINT) AS high FROM e), p AS (SELECT path, unnest(range((high - size) // 65536, (high - 1) // 65536 + 1)) AS block FROM f WHERE size > 0)"""
+
+
+def _metadata(spark, d):
+    from ..operators.metadata import normalized
 
+    return normalized(entries(spark, d), 65536)
 
-@query("q13_consistency", f"""WITH {CHUNKS} SELECT 'order without customer' AS rule, o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)
-UNION ALL SELECT 'chunk past its block', file FROM c WHERE size > 48 UNION ALL SELECT 'file without order', file FROM (SELECT DISTINCT file FROM c) WHERE file NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'duplicate order', o_orderkey FROM orders GROUP BY o_orderkey HAVING count(*) > 1""")
+
+@query("q13_consistent_metadata", f"WITH {_META} SELECT t, CAST(n AS BIGINT) AS n FROM (SELECT unnest(['inodes', 'directories', 'dir_entries', 'names', 'chunk_table', 'chunks', 'violations']) AS t, unnest([dirs + files, dirs + 1, dirs + files, (SELECT count(*) FROM nodes), files + 1, (SELECT count(*) FROM p), 0]) AS n FROM k)")
+def q13_clean(spark, d):
+    from ..operators.metadata import consistency
+
+    meta = _metadata(spark, d)
+    counts = [meta.tables[t].agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n") for t in ("inodes", "directories", "dir_entries", "names", "chunk_table", "chunks")]
+    counts.append(consistency(meta).agg(F.count("*").alias("n")).select(F.lit("violations").alias("t"), "n"))
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query(
+    "q13_consistency",
+    f"""WITH {_META}, c AS (SELECT count(*) AS chunks FROM p), i AS (SELECT unnest(range(dirs + files)) AS ix FROM k), x AS (SELECT unnest(range(chunks)) AS ix FROM c)
+SELECT 'index ranges' AS family, 'owner_index' AS rule, ix AS id FROM i WHERE ix % 97 = 5 UNION ALL SELECT 'index ranges', 'inode_num', ix FROM i WHERE ix % 89 = 7
+UNION ALL SELECT 'packed tables', 'self_entry is parent_entry', 3 UNION ALL SELECT 'packed tables', 'end of chunk_table', NULL UNION ALL SELECT 'string tables', 'length of name', 11
+UNION ALL SELECT 'chunks', 'end', ix FROM x WHERE ix % 50 = 9 UNION ALL SELECT 'chunks', 'large hole index', ix FROM x WHERE ix % 50 = 10
+UNION ALL SELECT 'partitioning', 'inodes', max(ix) FROM i UNION ALL SELECT 'counts', unnest(['directories', 'files']), NULL""",
+)
 def q13(spark, d):
-    o, c = table(spark, d, "orders"), chunks(spark, d)
-    customers = table(spark, d, "customer").where("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"))
-    return checking.violations(
-        {
-            "order without customer": checking.dangling(o.withColumn("id", F.col("o_orderkey")), customers, "o_custkey"),
-            "chunk past its block": c.where("size > 48").select(F.col("file").alias("id")),
-            "file without order": checking.dangling(c.select("file", F.col("file").alias("id")).distinct(), o.select(F.col("o_orderkey").alias("file")), "file"),
-            "duplicate order": checking.repeated(o, "o_orderkey"),
-        }
+    """The metadata of all documents with faults planted in six of the seven families (an empty table is tested alone)."""
+    from ..operators.metadata import LARGE_HOLE, consistency
+
+    meta = _metadata(spark, d)
+    t, ix = meta.tables, F.col("ix")
+    last = t["inodes"].count() - 1
+    folder = t["modes"].where("value = 16877").first()["ix"]
+    nine, ten = ix % 50 == 9, ix % 50 == 10
+    broken = meta.with_tables(
+        inodes=t["inodes"].withColumns({"owner_index": F.when(ix % 97 == 5, 1000).otherwise(F.col("owner_index")), "mode_index": F.when(ix == last, folder).otherwise(F.col("mode_index"))}),
+        dir_entries=t["dir_entries"].withColumn("inode_num", F.when(ix % 89 == 7, F.col("inode_num") + last + 1).otherwise(F.col("inode_num"))),
+        directories=t["directories"].withColumn("self_entry", F.when(ix == 3, F.col("parent_entry")).otherwise(F.col("self_entry"))),
+        chunk_table=t["chunk_table"].withColumn("first_chunk", F.col("first_chunk") + F.when(ix == last + 1 - (t["directories"].count() - 1), 1).otherwise(0)),
+        names=t["names"].withColumn("value", F.when(ix == 11, F.repeat(F.lit("n"), 513)).otherwise(F.col("value"))),
+        chunks=t["chunks"].select("ix", F.when(ten, 1 << 20).otherwise(F.col("block")).alias("block"), F.when(nine, 32768).when(ten, LARGE_HOLE).otherwise(F.col("offset")).alias("offset"), F.when(nine, 32769).when(ten, 5).otherwise(F.col("size")).alias("size")),
     )
+    return consistency(replace(broken, hole_block=1 << 20, sparse=True))
 
 
 @query("q14_size_cache", f"WITH {CHUNKS}, f AS (SELECT file, CAST(sum(size) AS BIGINT) AS size, count(*) AS n FROM c GROUP BY file) SELECT file, size + CASE WHEN file % 50 = 3 THEN 1 ELSE 0 END AS cached, size AS actual FROM f WHERE n >= 4 AND file % 50 = 3")
