@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from ..scale import shared_folder
 from ..sources.content import table
 from ..streaming import trace as S
 from .registry import query
 
 
-def _folder(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-")
-
-
 @query("t01_stream_rate", "WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY ALL) SELECT epoch_us(s) AS start_us, event_type, n, users FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
 def t01_stream(spark, d):
-    return S.run_available(S.windowed_rate(S.read_trace(spark, d)), _folder(spark))
+    return S.run_available(S.windowed_rate(S.read_trace(spark, d)), shared_folder(spark))
 
 
 @query(
@@ -26,7 +21,7 @@ def t01_stream(spark, d):
 SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS accesses FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
 )
 def t03_stream(spark, d):
-    return S.run_available(S.idle_sessions(S.read_trace(spark, d)), _folder(spark))
+    return S.run_available(S.idle_sessions(S.read_trace(spark, d)), shared_folder(spark))
 
 
 @query("t04_cache_batch")
@@ -36,5 +31,5 @@ def t04(spark, d):
 
 @query("t04_cache_stream")
 def t04_stream(spark, d):
-    out = S.run_available(S.cache_simulation(S.read_trace(spark, d)), _folder(spark))
+    out = S.run_available(S.cache_simulation(S.read_trace(spark, d)), shared_folder(spark))
     return out.groupBy("event_type").agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
