@@ -130,8 +130,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if taken > max(KNOWN, leaves):
             break
         least = float(r["bin"])
-    top = sorted((-r["n"], bytes(r["word"])) for r in counts.where(size_class >= least).collect())
-    words, n = [w for _, w in top], np.array([-k for k, _ in top], np.int64)
+    top = counts.where(size_class >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    words, n = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
     modelled = min(leaves - tails, len(words))
     last = F.expr("substring(word, greatest(octet_length(word) - 1, 1), 2)")
     size, kinds = np.zeros(tails), np.zeros(tails)
@@ -343,13 +343,18 @@ def fit(texts: DataFrame, v: Vocabulary) -> np.ndarray:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["block", "sums"])
 
-        sums = np.zeros((2, blocks * _BLOCK))
-        for r in train.where(F.col("fold") == turn).mapInArrow(counted, schema).repartition(F.col("block")).mapInArrow(added, schema).collect():
-            found = np.frombuffer(r["sums"], np.int64).reshape(2, -1)
-            sums[:, r["block"] * _BLOCK :][:, : found.shape[1]] = found  # each block of weights once: as large as the model
+        # the driver holds two tables of weights and one partition of sums, each block of weights being moved as it comes
+        moved, left = weights.copy(), set(range(blocks))
+        for r in train.where(F.col("fold") == turn).mapInArrow(counted, schema).repartition(F.col("block")).mapInArrow(added, schema).toLocalIterator():
+            here = slice(r["block"] * _BLOCK, min((r["block"] + 1) * _BLOCK, len(weights)))
+            moved[here] = stepped(weights[here], *np.frombuffer(r["sums"], np.int64).reshape(2, -1), start[here], turn)
+            left.remove(r["block"])
         shared.destroy()
-        if sums[0].any():
-            weights = stepped(weights, sums[0, : len(weights)], sums[1, : len(weights)], start, turn)
+        if len(left) < blocks:
+            for k in left:  # blocks that no token met are only pulled
+                here = slice(k * _BLOCK, min((k + 1) * _BLOCK, len(weights)))
+                moved[here] = stepped(weights[here], np.zeros(1), np.zeros(1), start[here], turn)
+            weights = moved
     return weights
 
 
