@@ -320,41 +320,45 @@ def fit(texts: DataFrame, v: Vocabulary) -> np.ndarray:
     train = texts.select("fold", "leaves").coalesce(context.defaultParallelism)
     schema = "block int, sums binary"
 
+    def block_of(k: int) -> slice:
+        return slice(k * _BLOCK, min((k + 1) * _BLOCK, tree.starts[-1]))
+
     def blocked(sums: np.ndarray) -> pa.RecordBatch:
-        rows = [(k, sums[:, k * _BLOCK : (k + 1) * _BLOCK]) for k in range(blocks)]
+        rows = [(k, sums[:, block_of(k)]) for k in range(blocks)]
         rows = [(k, x.astype(np.int32 if x.max() < 1 << 31 else np.int64)) for k, x in rows if x.any()]
         rows = [(k, bytes([x.itemsize]) + x.tobytes()) for k, x in rows]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["block", "sums"])
 
     for turn in range(FOLDS):
-        shared = context.broadcast(weights)
+        shared = context.broadcast((weights, v.leaf_count))
 
         def counted(batches, shared=shared):
-            sums = sums_of(tree, shared.value, _parts(batches))
+            sums = sums_of(tree, shared.value[0], _parts(batches))
             if sums is not None:
                 yield blocked(sums)
 
-        def added(batches):
+        def moved(batches, shared=shared, turn=turn):
             out: dict[int, np.ndarray] = {}
             for batch in batches:
                 for block, sums in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                     raw = sums.as_buffer().to_pybytes()
                     out[block] = out.get(block, 0) + np.frombuffer(raw, f"i{raw[0]}", offset=1).astype(np.int64)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([x.tobytes() for x in out.values()], pa.binary())], names=["block", "sums"])
-
-        # the driver holds two tables of weights and one partition of sums, each block of weights being moved as it comes
-        moved, left = weights.copy(), set(range(blocks))
-        for r in train.where(F.col("fold") == turn).mapInArrow(counted, schema).repartition(F.col("block")).mapInArrow(added, schema).toLocalIterator():
-            here = slice(r["block"] * _BLOCK, min((r["block"] + 1) * _BLOCK, len(weights)))
-            moved[here] = stepped(weights[here], *np.frombuffer(r["sums"], np.int64).reshape(2, -1), start[here], turn)
-            left.remove(r["block"])
+                weights, start = shared.value[0], tree.start(shared.value[1])
+                after = [stepped(weights[here], *out[k].reshape(2, -1), start[here], turn).tobytes() for k in out for here in [block_of(k)]]
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array(after, pa.binary())], names=["block", "weights"])
+
+        # one job a round, whatever the partitions: the tasks move the weights, and the driver gets these alone
+        found = train.where(F.col("fold") == turn).mapInArrow(counted, schema).repartition(F.col("block")).mapInArrow(moved, "block int, weights binary").toArrow()
         shared.destroy()
+        after, left = weights.copy(), set(range(blocks))
+        for k, raw in zip(found.column("block").to_pylist(), found.column("weights"), strict=True):
+            after[block_of(k)] = np.frombuffer(raw.as_buffer(), np.float32)
+            left.remove(k)
         if len(left) < blocks:
             for k in left:  # blocks that no token met are only pulled
-                here = slice(k * _BLOCK, min((k + 1) * _BLOCK, len(weights)))
-                moved[here] = stepped(weights[here], np.zeros(1), np.zeros(1), start[here], turn)
-            weights = moved
+                after[block_of(k)] = stepped(weights[block_of(k)], np.zeros(1), np.zeros(1), start[block_of(k)], turn)
+            weights = after
     return weights
 
 

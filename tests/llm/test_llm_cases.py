@@ -175,6 +175,28 @@ def test_language_model_whatever_the_partitions(spark):
     assert {r["doc_id"] for r in maxent_lm.lm_scores(words).collect()} == {str(k) for k in range(20)}
 
 
+def test_language_model_jobs_of_a_round(spark, monkeypatch):
+    """However many partitions there are, a round is a job or two, not one for each partition."""
+    monkeypatch.setattr(maxent_lm, "FOLDS", 2)
+    docs = spark.createDataFrame([(k, sentence(k, 30)) for k in range(20)], "doc_id long, text string").repartition(3)
+    held = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    v = maxent_lm.vocabulary(maxent_lm.word_counts(docs.select(F.col("text").cast("binary").alias("text"))))
+    texts = maxent_lm.coded(docs.selectExpr("doc_id", "false AS held_out", "CAST(doc_id % 2 AS int) AS fold", "CAST(text AS binary) AS text"), v)
+    few = maxent_lm.fit(texts, v)
+    try:
+        for k, value in held.items():
+            spark.conf.set(k, value)
+        spark.sparkContext.setJobGroup("rounds", "rounds")
+        many = maxent_lm.fit(texts, v)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("rounds")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, value in before.items():
+            spark.conf.set(k, value)
+    assert np.array_equal(few, many) and maxent_lm.FOLDS <= len(jobs) <= 3 * maxent_lm.FOLDS
+
+
 def test_long_texts_in_pieces():
     text = sentence(1, 500).replace(" ", "\n", 50).encode()
     cut = list(maxent_lm.pieces(text, 100))
