@@ -38,6 +38,8 @@ VALUES, BANDS, ROWS = 84, 24, 6
 MOST_TOGETHER = 1_000
 #: Index entries (a band key and a line) of a shuffled block, and of a task's table.
 _BLOCK, _TASK = 1 << 20, 1 << 22
+#: Top bits of a short digest, at most, in the map by which a task tells lines of no bucket.
+_MAP = 28
 _SCALE = np.random.default_rng(6).integers(1, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _SHIFT = np.random.default_rng(66).integers(1, 1 << 32, VALUES, dtype=np.uint64).astype(np.uint32)
 _FOLD = np.random.default_rng(666).integers(1, 1 << 63, ROWS, dtype=np.uint64) | np.uint64(1)
@@ -256,16 +258,51 @@ def similar_pairs(lines: list[bytes], least: float = SIMILAR, sets: list[np.ndar
     return found
 
 
+def key_map(keys: DataFrame, rows: int) -> tuple[int, np.ndarray]:
+    """How many top bits of a key count, and a map of them in bytes of eight: the bit of every key ``s`` of ``keys`` is on.
+
+    The map grows with the ``rows`` up to 2 ** ``_MAP`` bits (32 MB); beyond that more keys that are not there have their bit on.
+    """
+    bits = min(_MAP, max(16, (8 * rows).bit_length()))
+    width = 1 << max(bits - 12, 3)  # bits of a block, which one task sets whole
+
+    def marked(batches):
+        out: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            for block in np.unique(bit // width).tolist():
+                out.setdefault(block, np.zeros(width, bool))[bit[bit // width == block] % width] = True
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([np.packbits(x, bitorder="little").tobytes() for x in out.values()], pa.binary())], names=["block", "bits"])
+
+    found = keys.select("s").repartition(F.shiftrightunsigned("s", 64 - bits + width.bit_length() - 1)).mapInArrow(marked, "block int, bits binary").toArrow()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for block, raw in zip(found.column("block").to_pylist(), found.column("bits"), strict=True):
+        out[block * width // 8 : (block + 1) * width // 8] = np.frombuffer(raw.as_buffer(), np.uint8)
+    return bits, out
+
+
+def in_map(s: np.ndarray, bits: int, found: np.ndarray) -> np.ndarray:
+    """Which keys ``s`` have their bit on in a map of ``key_map``."""
+    bit = np.ascontiguousarray(s).view(np.uint64) >> np.uint64(64 - bits)
+    return (found[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
 def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     """Edges (a, b) of digests of similar lines, verified on the lines of ``docs``."""
-    wanted = spill(members.select("s").distinct(), "wanted")
+    size = members.count()
+    bits, found = key_map(members, size)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = {digest(ln): ln for t in batch.column(0).to_pylist() for _, ln in _worded(t)}
-        return pa.RecordBatch.from_arrays([pa.array([short(h) for h in found], pa.int64()), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["s", "h", "line"])
+        s = np.frombuffer(b"".join(found), np.int64)[::2]
+        at, own = np.flatnonzero(in_map(s, bits, shared.value)), list(found.items())
+        return pa.RecordBatch.from_arrays([pa.array(s[at]), pa.array([own[k][0] for k in at], pa.binary()), pa.array([own[k][1] for k in at], pa.binary())], names=["s", "h", "line"])
 
+    # lines that no bucket holds stay where they are, all but the few whose bit is on by chance; the join by key drops these
     texts = docs.select(text_bytes().alias("text")).mapInArrow(per_batch(lines), "s long, h binary, line binary")
-    texts = texts.join(small_or_shuffled(wanted), "s", "left_semi").groupBy("s", "h").agg(F.min("line").alias("line"))
+    texts = texts.groupBy("s", "h").agg(F.min("line").alias("line"))
 
     def verified(batches):
         got: dict[tuple[int, int], list[tuple[bytes, bytes]]] = {}
@@ -282,7 +319,7 @@ def similar_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
     joined = members.join(texts, "s").select("bucket", "part", "h", "line", "deal")
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.count() // 20_000)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 20_000)
     return joined.repartition(tasks, "deal", "part").drop("deal").mapInArrow(verified, "a binary, b binary")
 
 

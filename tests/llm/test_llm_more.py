@@ -261,3 +261,15 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(k, base[:-3] + f"{k:03d}") for k in range(60)] + [(k, sentence(k)) for k in range(100, 110)], "doc_id long, text string")
     got = line_dedup.repeated_lines(docs).collect()
     assert len(got) == 60 and {r["kept_doc"] for r in got} == {0}
+
+
+@pytest.mark.parametrize("most", [28, 12])
+def test_line_map_loses_no_key(spark, monkeypatch, most):
+    """Every key's bit is on, also where the map may not grow; of other keys few are, where it may."""
+    monkeypatch.setattr(line_dedup, "_MAP", most)
+    rng = np.random.default_rng(4)
+    keys, others = rng.integers(-(1 << 63), 1 << 63, (2, 5_000), dtype=np.int64)
+    bits, found = line_dedup.key_map(spark.createDataFrame([(int(k),) for k in keys], "s long"), len(keys))
+    assert bits <= most and len(found) == (1 << bits) // 8 and line_dedup.in_map(keys, bits, found).all()
+    assert most < 28 or line_dedup.in_map(others, bits, found).mean() < 0.2
+    assert not len(line_dedup.in_map(keys[:0], bits, found))
