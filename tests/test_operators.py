@@ -120,6 +120,23 @@ def test_hamming_join_by_brute_force(spark):
         assert got == {(i, j, d) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (d := (rows[i] ^ rows[j]).bit_count()) <= most}
 
 
+def test_hamming_join_in_blocks_and_without_broadcast(spark):
+    import random
+
+    from cairn.operators import hamming
+
+    r = random.Random(7)
+    base = [r.getrandbits(64) for _ in range(20)]
+    rows = [x ^ sum(1 << b for b in r.sample(range(64), k)) for x in base for k in (0, 5, 12, 13)]
+    signed = [(k, x - (1 << 64) if x >> 63 else x) for k, x in enumerate(rows)]
+    v = spark.createDataFrame([*signed, (999, None), signed[0]], "vec_id long, bits long")  # a row twice counts twice, as in SQL
+    got = sorted((x["a"], x["b"], x["distance"]) for x in hamming.within(v, v, 12, block=9).where("a < b").collect())
+    both = [(k, x & (1 << 64) - 1) for k, x in [*signed, signed[0]]]
+    assert got == sorted((i, j, d) for i, x in both for j, y in both if i < j and (d := (x ^ y).bit_count()) <= 12)
+    for most in (3, 7, 12):  # nothing goes through the driver, however small the planner takes the vectors to be
+        assert "Broadcast" not in hamming.within(v, v, most)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_quantiles(spark):
     import random
 
