@@ -152,9 +152,10 @@ f AS (SELECT event_id, us, min({{'us': us, 'n': event_id}}) OVER (PARTITION BY e
 SELECT event_id, CASE WHEN (us - first.us) // 1000 > 0 THEN (1000 * (event_id - first.n)) // ((us - first.us) // 1000) ELSE 0 END AS rate FROM f""",
 )
 def t01(spark, d):
+    from ..scale import first_from
+
     e = trace(spark, d).select("event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-_RATE_WINDOW, 0)
-    first = e.withColumn("first", F.min(F.struct("us", "event_id")).over(w))
+    first = first_from(e, "event_type", "us", "event_id", _RATE_WINDOW, "first")
     elapsed = F.expr("(us - first.us) div 1000")
     return first.select("event_id", F.when(elapsed > 0, F.expr("(1000 * (event_id - first.event_id)) div ((us - first.us) div 1000)")).otherwise(0).alias("rate"))
 

@@ -62,3 +62,25 @@ def lagged(df: DataFrame, value: str, order: list, name: str, default=0) -> Data
     out = parts.join(F.broadcast(carried), "_part").withColumn("_first", F.row_number().over(within) == 1)
     out = out.withColumn(name, F.coalesce(F.when(F.col("_first"), F.col("_carried")).otherwise(F.lag(value, 1).over(within)), F.lit(default)))
     return out.select(*df.columns, name)
+
+
+def first_from(df: DataFrame, group: str, at: str, id: str, back: int, name: str) -> DataFrame:
+    """(group, at, id) with ``name``: the first (at, id) of the group that is no more than ``back`` before the row.
+
+    A window over a range looks at all its rows for each row.  Here rows and the starts of their windows are one order,
+    and each start meets the next row in it: one sort, dealt by range, whatever the windows hold.
+    """
+    found = F.struct(F.col(at), F.col(id))
+    rows = df.select(group, at, id, F.col(at).alias("_k"), F.lit(1).alias("_row"))
+    starts = df.select(group, at, id, (F.col(at) - F.lit(back)).alias("_k"), F.lit(0).alias("_row"))
+    order = [group, "_k", "_row", id]
+    parts = ranged(rows.unionByName(starts), order)
+    own = F.when(F.col("_row") == 1, found)
+    falling = [F.desc(c) for c in order]
+    # rows before (unbounded, current) in falling order are the rows from here on; a frame that starts here would be summed anew for each row
+    here = F.last(own, ignorenulls=True).over(Window.partitionBy("_part").orderBy(*falling).rowsBetween(Window.unboundedPreceding, 0))
+    least = parts.where("_row = 1").groupBy("_part").agg(F.min_by(found, F.struct(*order)).alias("_least"))
+    every = parts.select("_part").distinct().join(least, "_part", "left")
+    later = F.last("_least", ignorenulls=True).over(Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))
+    out = parts.withColumn("_here", here).where("_row = 0").join(F.broadcast(every.select("_part", later.alias("_later"))), "_part")
+    return out.select(group, at, id, F.coalesce("_here", "_later").alias(name))

@@ -137,6 +137,20 @@ def test_hamming_join_in_blocks_and_without_broadcast(spark):
         assert "Broadcast" not in hamming.within(v, v, most)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rate_is_one_sort_and_equals_sql_on_crowded_windows(spark, tmp_path):
+    from compare import connection, rows_of_spark, rows_of_sql
+
+    from cairn import plans
+
+    ts = "IF(id % 11 = 0, NULL, timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, (id * 37 % 5000) * 20))"
+    kind = "IF(id % 7 = 0, NULL, concat('t', id % 3))"
+    spark.range(6000).selectExpr("id AS event_id", f"{ts} AS ts", "id AS user_id", f"{kind} AS event_type", "1.0D AS value", "'' AS props").coalesce(1).write.parquet(f"{tmp_path}/in")
+    next((tmp_path / "in").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    got = plans.QUERIES["t01_rate"](spark, str(tmp_path))
+    assert "RangeFrame" not in got._jdf.queryExecution().optimizedPlan().toString()  # it takes time by rows times rows of a window
+    assert rows_of_spark(got) == rows_of_sql(connection(tmp_path), plans.ORACLES["t01_rate"])
+
+
 def test_exact_quantiles(spark):
     import random
 
