@@ -1,3 +1,4 @@
+import hashlib
 import random
 import struct
 
@@ -206,3 +207,40 @@ def test_incompressible_as_a_whole():
     noise = np.random.default_rng(3).integers(0, 256, 8192, dtype=np.uint8).tobytes()
     assert formats.incompressible(noise, whole=True) == [("incompressible", None, 8192)]
     assert formats.incompressible(noise + b"a" * 8192, block=8192, whole=True) == [] and formats.incompressible(noise + b"a" * 8192, block=8192) != []
+
+
+def calls_of(fn):
+    """What a function gives, and how many Python functions ran for it."""
+    import sys
+
+    ran = 0
+
+    def count(frame, event, arg):
+        nonlocal ran
+        ran += event == "call"
+
+    sys.setprofile(count)
+    try:
+        out = fn()
+    finally:
+        sys.setprofile(None)
+    return out, ran
+
+
+def test_rice_runs_by_block_and_not_by_sample():
+    import numpy as np
+
+    from cairn.functions import rice
+
+    rng = np.random.default_rng(9)
+    noise = rng.integers(0, 256, 4001, dtype=np.uint8).tobytes()
+    steps = np.cumsum(rng.integers(-40, 41, 20000)).astype("<u2").tobytes()
+    assert hashlib.sha256(rice.encode(noise + steps)).hexdigest()[:16] == "254a4d02735beab8"
+    assert hashlib.sha256(rice.encode(steps + noise, 7, 3)).hexdigest()[:16] == "8d7155e1950ff732"
+    payload, ran = calls_of(lambda: rice.encode(steps))
+    assert ran < 500  # 157 blocks of 128 samples; 16 calls of numpy and more for each block before
+    back, ran = calls_of(lambda: rice.decode(payload))
+    assert back == steps and ran < 8000  # one call a sample before
+    for data in (b"", b"a", b"ab", noise[:255], noise[:257]):
+        for block, components in ((128, 1), (1, 1), (16, 2)):
+            assert rice.decode(rice.encode(data, block, components)) == data
