@@ -8,6 +8,7 @@ form buckets of about equal bytes, each folded on its own, at the price of match
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
@@ -67,12 +68,18 @@ class _Block:
 
 
 class Segmenter:
+    #: Places of the table that tells which window hashes the index may hold.
+    MARKS = 1 << 18
+
     def __init__(self, config: Config):
         self.c = config
+        self.marks = np.zeros(self.MARKS, bool)
+        self.piece = (-1, 0, 0)  # block, and where in it a content lies in one piece
         self.blocks = [_Block(0)]
         self.done: list[_Block] = []
         self.chunks: list[tuple] = []
         self.fresh: list[int] = []  # hashes indexed since this was last looked at
+        self.foreign: list[int] = []  # those of windows that are not of one piece of the content
         self.stats = {"good": 0, "bad": 0, "reused": 0}
         self.constant = {constant_hash(b, config.window): b for b in range(256)} if config.window else {}
 
@@ -84,35 +91,52 @@ class Segmenter:
             else:
                 self.chunks.append((key, last[1] + 1 if last and last[0] == key else 0, block, offset, size))
 
-    def _append(self, key, data: bytes) -> None:
-        """Write new data, cutting at ends of blocks and indexing windows that end at multiples of the step."""
+    def _mark(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes ^ hashes >> 16) & self.MARKS - 1
+
+    def _append(self, key, data: bytes, known: list[int] | None = None, at: int = 0, end: int | None = None) -> None:
+        """Write ``data[at:end]``, cutting at ends of blocks and indexing windows that end at multiples of the step.
+
+        ``known`` has the hash of each window of ``data``; only windows that begin before what the block holds of it in one piece are hashed here.
+        """
         w, step = self.c.window, self.c.step
-        while data:
+        end = len(data) if end is None else end
+        while at < end:
             b = self.blocks[-1]
-            part = data[: self.c.capacity - len(b.data)]
-            data = data[len(part) :]
             start = len(b.data)
+            part = data[at : min(end, at + self.c.capacity - start)]
             b.data += part
             self._emit(key, b.number, start, len(part))
             if w:
                 first = max(w, start + 1)
                 ends = range(first + -first % step, len(b.data) + 1, step)
-                if len(ends):
-                    base = ends[0] - w
-                    hashes = rolling_hashes(bytes(b.data[base:]), w)
-                    for end in ends:
-                        h = int(hashes[end - w - base])
-                        byte = self.constant.get(h)
-                        if byte is not None and b.data[end - w : end].count(byte) == w:
-                            if byte in b.constants:
-                                continue
-                            b.constants.add(byte)
-                        b.index[h].append(end - w)
-                        self.fresh.append(h)
+                inside = at - start  # from a place in the block to the place in the data; a match changes it
+                if self.piece[:2] != (b.number, inside):
+                    self.piece = (b.number, inside, start)
+                own = len(ends)
+                if ends and known is not None:
+                    own = min(own, max(0, -(-(self.piece[2] + w - ends[0]) // step)))
+                before = []
+                if own:
+                    before = rolling_hashes(bytes(b.data[ends[0] - w : ends[own - 1]]), w)[::step].tolist()
+                for k, e in enumerate(ends):
+                    h = before[k] if k < own else known[e - w + inside]
+                    byte = self.constant.get(h)
+                    if byte is not None and b.data[e - w : e].count(byte) == w:
+                        if byte in b.constants:
+                            continue
+                        b.constants.add(byte)
+                    b.index[h].append(e - w)
+                    (self.foreign if k < own else self.fresh).append(h)
+                    self.marks[(h ^ h >> 16) & self.MARKS - 1] = True
+            at += len(part)
             if len(b.data) >= self.c.capacity:
                 self.done.append(b)
                 self.blocks.append(_Block(b.number + 1))
                 self.blocks = self.blocks[-max(1, self.c.lookback) :]
+                self.marks[:] = False  # hashes of a block that is no longer active go
+                for active in self.blocks:
+                    self.marks[self._mark(np.fromiter(active.index, np.int64, len(active.index)))] = True
 
     def _match(self, data: bytes, at: int, h: int, written: int):
         """The longest verified match of the window at ``at``: (size, block, offset, bytes before the window)."""
@@ -135,26 +159,54 @@ class Segmenter:
     def add(self, key, data: bytes) -> None:
         """Scan a content.  Only positions whose window hash the index has, or gets while the content is written, are tried."""
         w, g, step = self.c.window, self.c.granularity, self.c.step
+        self.piece = (-1, 0, 0)
         if not w or len(data) < w:
             self._append(key, data)
             return
         hashes = rolling_hashes(data, w)
-        places = np.argsort(hashes, kind="stable")
-        ordered = hashes[places]
-        known = np.array([h for b in self.blocks for h in b.index], np.int64)
-        waiting = np.flatnonzero(np.isin(hashes, known)).tolist()  # sorted, so a heap
+        listed = hashes.tolist()
+        may = np.flatnonzero(self.marks[self._mark(hashes)]).tolist()
+        waiting = [p for p in may if any(listed[p] in b.index for b in self.blocks)]  # sorted, so a heap
+        # a hash of a window of this content waits for its other places only if there are any
+        ordered = np.sort(hashes)
+        repeated = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+        again: dict[int, list[int]] = defaultdict(list)
+        if len(repeated):
+            for p in np.flatnonzero(np.isin(hashes, repeated)).tolist():
+                again[listed[p]].append(p)
+        places_of: dict[int, int] = {}
+        asked = 0
         at = written = 0
         self.fresh.clear()
+        self.foreign.clear()
+
+        def place_of(h: int) -> int:
+            """Of a hash that one window of the content has; -1 if none."""
+            nonlocal asked
+            asked += 1
+            if asked < 16:
+                return int(found[0]) if len(found := np.flatnonzero(hashes == h)) else -1
+            if not places_of:
+                places_of.update(zip(listed, range(len(listed)), strict=True))
+            return places_of.get(h, -1)
 
         def write(end: int) -> None:
             nonlocal written
-            self._append(key, data[written:end])
+            self._append(key, data, listed, written, end)
             written = end
-            for h in self.fresh:
-                low, high = np.searchsorted(ordered, [h, h + 1])
-                for p in places[low:high][places[low:high] >= at]:
-                    heappush(waiting, int(p))
+            # a window of the content itself ends before ``at``, so only its repetitions wait
+            for h in self.fresh if again else ():
+                if h in again:
+                    for p in again[h][bisect_left(again[h], at) :]:
+                        heappush(waiting, p)
+            for h in self.foreign:
+                if h in again:
+                    for p in again[h][bisect_left(again[h], at) :]:
+                        heappush(waiting, p)
+                elif (p := place_of(h)) >= at:
+                    heappush(waiting, p)
             self.fresh.clear()
+            self.foreign.clear()
 
         flush = w + step  # what is far enough behind the window is written, up to where the next index entry falls
         while True:
@@ -173,7 +225,7 @@ class Segmenter:
                 flush = max(written + w + step, at + g)
                 continue
             heappop(waiting)
-            if found := self._match(data, at, int(hashes[at]), written):
+            if found := self._match(data, at, listed[at], written):
                 size, block, offset, back = found
                 write(at - back)
                 self._emit(key, block, offset, size)
@@ -181,8 +233,7 @@ class Segmenter:
                 self.stats["reused"] += size
                 at = written = at - back + size
                 flush = written + w + step
-        self._append(key, data[written:])
-        self.fresh.clear()
+        self._append(key, data, listed, written)
 
     def finish(self) -> list[tuple[int, bytes]]:
         last = self.blocks[-1]

@@ -244,3 +244,27 @@ def test_rice_runs_by_block_and_not_by_sample():
     for data in (b"", b"a", b"ab", noise[:255], noise[:257]):
         for block, components in ((128, 1), (1, 1), (16, 2)):
             assert rice.decode(rice.encode(data, block, components)) == data
+
+
+def test_segmenter_hashes_a_content_once_and_not_by_step(monkeypatch):
+    import numpy as np
+
+    from cairn.operators import segmenting
+
+    rng = np.random.default_rng(3)
+    text = rng.integers(97, 123, 50_000, dtype=np.uint8).tobytes()
+    hashed = 0
+
+    def counted(data, window):
+        nonlocal hashed
+        hashed += 1
+        return kernels.rolling_hashes(data, window)
+
+    monkeypatch.setattr(segmenting, "rolling_hashes", counted)
+    s = segmenting.Segmenter(segmenting.Config(7, 1, 16, 4))
+    for k, content in enumerate((text, text[:20_000], text[30_000:] + text[:1000])):
+        s.add(k, content)
+    assert hashed < 40  # once a content, and where a block or a match begins; 393 before
+    assert s.stats["good"] == 3 and s.stats["reused"] > 40_000
+    digest = hashlib.sha256(repr((s.chunks, s.finish(), s.stats)).encode()).hexdigest()[:16]
+    assert digest == "17b386bdc5c3df2d"
