@@ -53,15 +53,17 @@ def h12(spark, d):
 @query("h09_constant_windows")
 def h09(spark, d):
     """Window hashes of one repeated byte, of which the index keeps one a block."""
-    from ..functions.kernels import constant_hash
+    from ..functions.kernels import constant_hash, rolling_hashes
 
-    hashes = {constant_hash(b, 64) for b in range(256)}
+    hashes = np.array(sorted({constant_hash(b, 64) for b in range(256)}), np.int64)
+
+    def count(b: bytes, run: int = 1 << 16) -> int:
+        # a window's hash does not depend on its place, so a long content is hashed by runs of windows
+        return sum(int(np.isin(rolling_hashes(b[at : at + run + 63], 64), hashes).sum()) for at in range(0, len(b) - 63, run))
 
     @F.pandas_udf(T.LongType())
     def constant(content: pd.Series) -> pd.Series:
-        from ..functions.kernels import rolling_hashes
-
-        return content.map(lambda b: int(np.isin(rolling_hashes(b, 64), list(hashes)).sum()))
+        return content.map(count)
 
     return _bytes(spark, d).select("ino", constant("content").alias("constant_windows"))
 

@@ -12,7 +12,19 @@ from pyspark.sql import functions as F
 MODES = [0o100644, 0o100600, 0o100755, 0o100444]
 
 
+#: Rows of an Arrow batch at most: contents are long, and a Python worker holds a batch several times over.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep the session's Arrow batches small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -268,3 +268,17 @@ def test_segmenter_hashes_a_content_once_and_not_by_step(monkeypatch):
     assert s.stats["good"] == 3 and s.stats["reused"] > 40_000
     digest = hashlib.sha256(repr((s.chunks, s.finish(), s.stats)).encode()).hexdigest()[:16]
     assert digest == "17b386bdc5c3df2d"
+
+
+def test_python_gets_few_texts_at_once(spark, sf):
+    from cairn import plans
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 10_000)
+    try:
+        for name in ("s05_find_container", "v08_display_width", "v16_case_fold", "h09_constant_windows"):
+            plans.QUERIES[name](spark, sf)
+            assert int(spark.conf.get(key)) <= 1_000
+    finally:
+        spark.conf.set(key, before)
