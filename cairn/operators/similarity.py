@@ -20,31 +20,42 @@ def _majority(v: np.ndarray) -> np.ndarray:
 
 def greedy(v: np.ndarray) -> list[int]:
     """An order that starts with the first vector and goes on to the nearest left; the first of equals, and any at distance one or less, wins."""
-    left, out = list(range(1, len(v))), [0]
-    while left:
-        d = _distance(v[left], v[out[-1]])
-        close = np.flatnonzero(d <= 1)
-        k = int(close[0]) if len(close) else int(d.argmin())
-        out.append(left.pop(k))
+    left, rest, out = np.arange(1, len(v)), v[1:].copy(), [0]
+    for n in range(len(left), 0, -1):
+        d = _distance(rest[:n], v[out[-1]])
+        k = int((d <= 1).argmax())
+        k = k if d[k] <= 1 else int(d.argmin())
+        out.append(int(left[k]))
+        left[k : n - 1], rest[k : n - 1] = left[k + 1 : n], rest[k + 1 : n]
     return out
 
 
 def _clusters(v: np.ndarray, most_distance: int, most_children: int) -> list[list[int]]:
-    centroids: list[np.ndarray] = []
+    """Each vector goes to the first centroid near enough; centroids follow their members.
+
+    Bits of members are counted as they come, so a vector costs the same however many came before it.
+    """
+    centroids = np.zeros((most_children, v.shape[1]), v.dtype)
+    counts = np.zeros((most_children, 64 * v.shape[1]), np.int64)
     children: list[list[int]] = []
-    for i in range(len(v)):
-        d = _distance(np.array(centroids), v[i]) if centroids else np.zeros(0)
-        fits = np.flatnonzero(d <= most_distance)
-        if len(fits):
-            k = int(fits[0])
-        elif len(children) < most_children:
-            k = len(children)
-            children.append([])
-            centroids.append(v[i])
-        else:
-            k = int(d.argmin())
-        children[k].append(i)
-        centroids[k] = _majority(v[children[k]]) if len(children[k]) < 64 or not len(children[k]) & 63 else centroids[k]
+    for start in range(0, len(v), 4096):
+        run = v[start : start + 4096]
+        bits = np.unpackbits(np.ascontiguousarray(run).view(np.uint8), axis=1, bitorder="little")
+        for i in range(len(run)):
+            k = 0
+            if n := len(children):
+                d = np.bitwise_count(centroids[:n] ^ run[i]).sum(axis=1)
+                k = int((d <= most_distance).argmax())
+                if d[k] > most_distance:
+                    k = n if n < most_children else int(d.argmin())
+            if k == n:
+                children.append([])
+                centroids[k] = run[i]
+            own = children[k]
+            own.append(start + i)
+            counts[k] += bits[i]
+            if len(own) < 64 or not len(own) & 63:
+                centroids[k] = np.packbits(counts[k] > len(own) // 2, bitorder="little").view(np.uint64)
     return children
 
 

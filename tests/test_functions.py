@@ -282,3 +282,23 @@ def test_python_gets_few_texts_at_once(spark, sf):
             assert int(spark.conf.get(key)) <= 1_000
     finally:
         spark.conf.set(key, before)
+
+
+def test_clusters_count_bits_of_a_vector_once(monkeypatch):
+    import numpy as np
+
+    from cairn.operators import similarity
+
+    v = np.unique(np.random.default_rng(8).integers(0, 1 << 62, (2000, 4), dtype=np.uint64) & np.uint64(0xFF00FF00FF), axis=0)
+    unpacked, unpack = 0, np.unpackbits
+
+    def counted(a, *args, **options):
+        nonlocal unpacked
+        unpacked += a.size
+        return unpack(a, *args, **options)
+
+    monkeypatch.setattr(similarity.np, "unpackbits", counted)
+    got = similarity._clusters(v, 128, 64)
+    assert unpacked == 32 * len(v)  # all members again for every 64th one before
+    assert hashlib.sha256(repr(got).encode()).hexdigest()[:16] == "c24030f18f5aa7e8"
+    assert hashlib.sha256(repr([int(x) for x in similarity.order(v, np.arange(len(v)))]).encode()).hexdigest()[:16] == "3d1412f4a3f186de"
